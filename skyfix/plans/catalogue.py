@@ -167,7 +167,8 @@ def grade_worst_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda v, *cuts: F.when(v <= cuts[0], 0).when(v <= cuts[1], 1).when(v <= cuts[2], 2).when(v.isNotNull(), 3)
     stretch = F.greatest(F.col("ratio"), 1 / F.col("ratio"))
     worst = F.greatest(level(F.col("pos"), 3, 8, 18), level(stretch, 1.25, 1.6, 2.5), level(F.col("dir"), 1.0, 2.5, 6.0))
-    return o.select("o_orderkey", F.element_at(F.array(*map(F.lit, ("excellent", "good", "fair", "poor"))), worst + 1).alias("grade"))
+    grade = F.element_at(F.array(*map(F.lit, ("excellent", "good", "fair", "poor"))), F.coalesce(worst, F.lit(0)) + 1)
+    return o.select("o_orderkey", F.when(worst.isNotNull(), grade).alias("grade"))
 
 
 _LEVEL = lambda v, a, b, c: f"CASE WHEN {v} <= {a} THEN 0 WHEN {v} <= {b} THEN 1 WHEN {v} <= {c} THEN 2 WHEN {v} IS NOT NULL THEN 3 END"
