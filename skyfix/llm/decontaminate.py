@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .membership import without
 from .rolling import ByteHash, mixed, spans
-from .shared import columns, written
+from .shared import columns, sliced, written
 
 TOKEN = re.compile(r"\w+")
 SPAN = 8
@@ -69,7 +69,7 @@ def _seeded(rows: DataFrame, filler: int, held: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash()
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(4)]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 tokens = token_hashes(text, hasher)
@@ -102,7 +102,7 @@ def _bitmap(test: DataFrame) -> np.ndarray:
 def _verified(pairs: DataFrame, kinds: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 * OVERLAP + SPAN
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             left, right = (np.asarray(batch.column(i).flatten()).reshape(-1, width) for i in (3, 4))
             same = np.cumsum(np.concatenate([np.zeros((len(left), 1), np.int64), left == right], axis=1), axis=1)
             best = (same[:, OVERLAP:] - same[:, :-OVERLAP]).max(axis=1, initial=0)

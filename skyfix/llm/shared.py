@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,10 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     projections and put the columns' whole expressions into it, where a lambda then computes
     them again for every element; a column that isn't deterministic holds it in place."""
     return df.withColumn("_fence", F.rand(0)).where(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small slices, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .membership import without
-from .shared import columns, written
+from .shared import columns, sliced, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             bits = np.fromiter((fingerprint_bits(t or b"") for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .membership import bitmap, marked
 from .rolling import ByteHash, sliding_min, spans
-from .shared import columns, fan_out, written
+from .shared import columns, fan_out, sliced, written
 
 WINDOW = 50
 #: Words in an anchor.
@@ -63,7 +63,7 @@ def runs_of(text: bytes, hasher: ByteHash, window: int = WINDOW) -> tuple[np.nda
 def _anchors(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [runs_of(t or b"", hasher, window) for t in batch.column(2).to_pylist()]
             owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             parts = [np.concatenate([x[j] for x in found]) for j in range(3)]
@@ -76,8 +76,8 @@ def _contexts(rows: DataFrame, window: int) -> DataFrame:
     """Of documents with their repeated runs: the words that each run's suffixes cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+        for batch in sliced(batches):
+            out: list[list] = [[] for _ in names]
             for doc, copy, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 flat, first, end = spans(text.split())
                 for r in runs:
@@ -86,9 +86,9 @@ def _contexts(rows: DataFrame, window: int) -> DataFrame:
                     digest = hashlib.blake2b(words, digest_size=16).digest()
                     for x, v in zip(out, (doc, copy, a, r["anchor"], r["many"], digest, words)):
                         x.append(v)
-                if len(out[0]) > 20_000:
+                if len(out[0]) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
-                    out = [[] for _ in range(7)]
+                    out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
     names = ["doc_id", "copy", "start", "anchor", "many", "digest", "words"]
@@ -135,7 +135,7 @@ def _subtrees(grouped: DataFrame, window: int) -> DataFrame:
             out.clear()
             return made
 
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if held and held[0][0] != row[0]:
                     close()
@@ -151,7 +151,7 @@ def _whole_windows(contexts: DataFrame, window: int) -> DataFrame:
     """Large groups: the smallest document of each window, by the window's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(5)]
             for anchor, digest, least, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 flat, first, end = spans(words.split())
@@ -171,7 +171,7 @@ def _whole_windows(contexts: DataFrame, window: int) -> DataFrame:
 
 def _kept(rows: DataFrame, window: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_removed, kept = [], [], []
             for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or b"").split()

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import columns
+from .shared import columns, sliced
 
 #: Distinct words after which a task starts its table of counts anew.
 TABLE_ENTRIES = 500_000
@@ -105,7 +105,7 @@ def count_tokens(df: DataFrame, pieces: list[str], id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(LongestMatch(pieces, marker))
         look = counts.__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_tokens = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = (text or b"").split()
