@@ -13,7 +13,7 @@ Two fingerprints link at ``MAX_BITS`` (4) or fewer differing bits. Candidates:
 
 So any two fingerprints that link share a key (about 53 keys each), while unrelated ones
 meet with probability 2**-25 a key. Candidates are joined on the key and verified by their
-differing bits. Equal fingerprints are one class from the start, so a group of copies is
+differing bits (see ``links`` for large groups). Equal fingerprints are one class from the start, so a group of copies is
 one row in the join however large it is. Components come from ``components``.
 
 Defined results: a null or blank text has fingerprint zero and links like any other;
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -143,19 +143,38 @@ def fuzzy_keys(bits: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> list[
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints (column ``bits``) at most ``MAX_BITS`` apart."""
-
+def _keyed(classes: DataFrame) -> DataFrame:
     @F.pandas_udf("array<long>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = golay_tables()
         for bits in batches:
             yield pd.Series(fuzzy_keys(bits.to_numpy(np.int64), tables), dtype=object)
 
-    keyed = classes.select("bits", F.explode(keys("bits")).alias("key"))
-    near = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits"))) <= MAX_BITS
-    pairs = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.bits") < F.col("r.bits")) & near)
-    return pairs.select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b")).distinct()
+    return classes.withColumn("key", F.explode(keys("bits")))
+
+
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of distinct fingerprints (column ``bits``) at most ``MAX_BITS`` apart, as
+    many as connect every two that link.
+
+    A large group of near copies links nearly all with all. So first every fingerprint meets
+    only the least and the greatest of each of its keys, which joins such a group with as many
+    rows as it has keys; then the pairs that still lie in different components meet in full.
+    """
+    keyed = _keyed(classes.select("bits"))
+    ends = written(keyed.groupBy("key").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")).where("lo < hi"), "ends")
+    met = keyed.join(ends, "key")
+    stars = [met.where(_near("bits", end) & (F.col("bits") != F.col(end))).select(F.col("bits").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
+    first = written(stars[0].unionByName(stars[1]).distinct(), "stars")
+    joined = written(components(first, classes.select(F.col("bits").alias("node"), F.col("bits").alias("label"))), "joined")
+    again = _keyed(joined.select(F.col("node").alias("bits"), F.col("label").alias("home"))).join(ends.select("key"), "key", "left_semi")
+    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.home") < F.col("r.home")) & _near("l.bits", "r.bits")
+    rest = again.alias("l").join(again.alias("r"), apart).select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b"))
+    return first.unionByName(rest.distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
