@@ -20,13 +20,13 @@ def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
     object, with a small error of its own."""
     s = table(spark, sf_dir, "supplier")
     return s.selectExpr(
-        "s_nationkey AS session", "s_suppkey AS witness", "42.0D + (s_suppkey % 97) * 0.0013D AS lat", "-123.0D + (s_suppkey % 89) * 0.0017D AS lon",
+        "s_nationkey % 5 AS session", "s_suppkey AS witness", "42.0D + (s_suppkey % 97) * 0.0013D AS lat", "-123.0D + (s_suppkey % 89) * 0.0017D AS lon",
         "(s_suppkey % 31) * 10.0D AS alt", "(s_suppkey * 37 % 360) * 1.0D AS az", "5.0D + (s_suppkey * 13 % 70) AS el",
     )
 
 
 OBSERVERS = """observers AS (
-  SELECT s_nationkey AS session, s_suppkey AS witness, 42.0 + (s_suppkey % 97) * 0.0013 AS lat, -123.0 + (s_suppkey % 89) * 0.0017 AS lon,
+  SELECT s_nationkey % 5 AS session, s_suppkey AS witness, 42.0 + (s_suppkey % 97) * 0.0013 AS lat, -123.0 + (s_suppkey % 89) * 0.0017 AS lon,
     (s_suppkey % 31) * 10.0 AS alt, CAST(s_suppkey * 37 % 360 AS DOUBLE) AS az, 5.0 + (s_suppkey * 13 % 70) AS el FROM supplier
 )"""
 
@@ -84,13 +84,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as aircraft over the sessions' area, spread over the sessions."""
     p = table(spark, sf_dir, "part")
     return p.selectExpr(
-        "cast(p_partkey % 25 as int) AS session", "p_partkey AS candidate", "42.0D + (p_partkey % 101) * 0.003D AS c_lat", "-123.1D + (p_partkey % 103) * 0.004D AS c_lon",
+        "cast(p_partkey % 5 as int) AS session", "p_partkey AS candidate", "42.0D + (p_partkey % 101) * 0.003D AS c_lat", "-123.1D + (p_partkey % 103) * 0.004D AS c_lon",
         "500.0D + (p_partkey % 211) * 40.0D AS c_alt",
     )
 
 
 CANDIDATES = """candidates AS (
-  SELECT CAST(p_partkey % 25 AS INTEGER) AS session, p_partkey AS candidate, 42.0 + (p_partkey % 101) * 0.003 AS c_lat, -123.1 + (p_partkey % 103) * 0.004 AS c_lon,
+  SELECT CAST(p_partkey % 5 AS INTEGER) AS session, p_partkey AS candidate, 42.0 + (p_partkey % 101) * 0.003 AS c_lat, -123.1 + (p_partkey % 103) * 0.004 AS c_lon,
     500.0 + (p_partkey % 211) * 40.0 AS c_alt FROM part
 )"""
 

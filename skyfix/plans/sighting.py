@@ -164,14 +164,14 @@ def aspect_span_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observers(spark, sf_dir).select("session", F.radians("az").alias("a"), (F.lit(4.0) + F.abs(F.sin(F.radians(F.col("az") + F.col("session") * 7)))).alias("w"))
     grid = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(359))))
     f = F.abs(F.sin(F.col("a") - F.radians(F.col("k") / 2)))
-    sums = grid.groupBy("session", "k").agg(F.sum(f * F.col("w")).alias("fw"), F.sum(f * f).alias("ff"), F.sum(F.col("w") * F.col("w")).alias("ww"))
-    err = sums.where("ff > 1e-9").withColumn("err", F.round(F.col("ww") - F.col("fw") * F.col("fw") / F.col("ff"), 6))
+    sums = grid.groupBy("session", "k").agg(F.sum(f * F.col("w")).alias("fw"), F.sum(f * f).alias("ff"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.count("*").alias("n"))
+    err = sums.where("ff > 1e-9 and n >= 3").withColumn("err", F.round(F.col("ww") - F.col("fw") * F.col("fw") / F.col("ff"), 6))
     return ops.least_by_grid(err, "session", "k", "err").select("session", (F.col("k") / 2).alias("psi"), "err")
 
 
 SQL_ASPECT = f"""WITH {OBSERVERS}, rows_ AS (SELECT session, radians(az) AS a, 4.0 + abs(sin(radians(az + session * 7))) AS w FROM observers),
-sums AS (SELECT session, k, sum(abs(sin(a - radians(k / 2.0))) * w) AS fw, sum(pow(sin(a - radians(k / 2.0)), 2)) AS ff, sum(w * w) AS ww FROM rows_, range(0, 360) g(k) GROUP BY session, k),
-err AS (SELECT session, k, round(ww - fw * fw / ff, 6) AS err FROM sums WHERE ff > 1e-9)
+sums AS (SELECT session, k, sum(abs(sin(a - radians(k / 2.0))) * w) AS fw, sum(pow(sin(a - radians(k / 2.0)), 2)) AS ff, sum(w * w) AS ww, count(*) AS n FROM rows_, range(0, 360) g(k) GROUP BY session, k),
+err AS (SELECT session, k, round(ww - fw * fw / ff, 6) AS err FROM sums WHERE ff > 1e-9 AND n >= 3)
 SELECT session, k / 2.0 AS psi, err FROM err QUALIFY row_number() OVER (PARTITION BY session ORDER BY err, k) = 1"""
 
 QUERIES = {f.__name__: f for f in (geo_haversine_bearing, geo_enu_frame, los_fix_triangulate, pair_baseline_convergence, cov_ellipse, rank_candidates_sepmax, rank_topk_nearest, dim_wingspan_fallback, feed_merge_backfill, aspect_span_scan)}
