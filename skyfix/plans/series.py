@@ -235,12 +235,12 @@ SELECT trail, count(plat) AS legs, round(sum({_LEG}) / 1000, 3) AS km, round(max
 def skyline_running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crests that stand above all that lies nearer: a running maximum outward."""
     li = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS site", "l_orderkey AS d", "l_linenumber AS j", "l_extendedprice / (1 + l_orderkey) AS el")
-    nearer = Window.partitionBy("site").orderBy("d", "j").rowsBetween(Window.unboundedPreceding, -1)
+    nearer = Window.partitionBy("site").orderBy("d", "j", "el").rowsBetween(Window.unboundedPreceding, -1)
     return li.withColumn("top", F.max("el").over(nearer)).where("top is null or el > top").select("site", "d", "j", "el")
 
 
 SQL_SKYLINE = """WITH r AS (SELECT l_suppkey AS site, l_orderkey AS d, l_linenumber AS j, l_extendedprice / (1 + l_orderkey) AS el FROM lineitem),
-m AS (SELECT *, max(el) OVER (PARTITION BY site ORDER BY d, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r) SELECT site, d, j, el FROM m WHERE top IS NULL OR el > top"""
+m AS (SELECT *, max(el) OVER (PARTITION BY site ORDER BY d, j, el ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r) SELECT site, d, j, el FROM m WHERE top IS NULL OR el > top"""
 
 
 def skyline_match_regr(spark: SparkSession, sf_dir: str) -> DataFrame:
