@@ -171,7 +171,7 @@ def links(classes: DataFrame) -> DataFrame:
     stars = [met.where(_near("bits", end) & (F.col("bits") != F.col(end))).select(F.col("bits").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
     first = written(stars[0].unionByName(stars[1]).distinct(), "stars")
     joined = written(components(first, classes.select(F.col("bits").alias("node"), F.col("bits").alias("label"))), "joined")
-    again = _keyed(joined.select(F.col("node").alias("bits"), F.col("label").alias("home"))).join(ends.select("key"), "key", "left_semi")
+    again = _keyed(joined.select(F.col("node").alias("bits"), F.col("label").alias("home")))
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.home") < F.col("r.home")) & _near("l.bits", "r.bits")
     rest = again.alias("l").join(again.alias("r"), apart).select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b"))
     return first.unionByName(rest.distinct())
