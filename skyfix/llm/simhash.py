@@ -13,7 +13,7 @@ Two fingerprints link at ``MAX_BITS`` (4) or fewer differing bits. Candidates:
 
 So any two fingerprints that link share a key (about 53 keys each), while unrelated ones
 meet with probability 2**-25 a key. Candidates are joined on the key and verified by their
-differing bits (see ``links`` for large groups). Equal fingerprints are one class from the start, so a group of copies is
+differing bits (see ``homes_of`` for large groups). Equal fingerprints are one class from the start, so a group of copies is
 one row in the join however large it is. Components come from ``components``.
 
 Defined results: a null or blank text has fingerprint zero and links like any other;
@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,47 +143,55 @@ def fuzzy_keys(bits: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> list[
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """One row per key of each fingerprint: ``bits, home, key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = golay_tables()
-        for bits in batches:
-            yield pd.Series(fuzzy_keys(bits.to_numpy(np.int64), tables), dtype=object)
+        for batch in sliced(batches, 2048):
+            keys = fuzzy_keys(np.asarray(batch.column(0)), tables)
+            owner = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(flat, pa.int64())], names=["bits", "home", "key"])
 
-    return classes.withColumn("key", F.explode(keys("bits")))
+    return classes.select("bits", "home").mapInArrow(run, "bits long, home long, key long")
 
 
 def _near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of distinct fingerprints (column ``bits``) at most ``MAX_BITS`` apart, as
-    many as connect every two that link.
+def homes_of(classes: DataFrame) -> DataFrame:
+    """``bits, home``: fingerprints joined to the least and the greatest of each of their keys
+    where they are near; ``home`` is the least fingerprint that can be reached so.
 
-    A large group of near copies links nearly all with all. So first every fingerprint meets
-    only the least and the greatest of each of its keys, which joins such a group with as many
-    rows as it has keys; then the pairs that still lie in different components meet in full.
+    A large group of near copies links nearly all with all. This joins it with as many rows
+    as it has keys, and leaves little for the full join of ``links``.
     """
-    keyed = _keyed(classes.select("bits"))
+    keyed = _keyed(classes.select("bits", F.col("bits").alias("home"))).drop("home")
     ends = written(keyed.groupBy("key").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")).where("lo < hi"), "ends")
     met = keyed.join(ends, "key")
     stars = [met.where(_near("bits", end) & (F.col("bits") != F.col(end))).select(F.col("bits").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
-    first = written(stars[0].unionByName(stars[1]).distinct(), "stars")
-    joined = written(components(first, classes.select(F.col("bits").alias("node"), F.col("bits").alias("label"))), "joined")
-    again = _keyed(joined.select(F.col("node").alias("bits"), F.col("label").alias("home")))
+    labels = classes.select(F.col("bits").alias("node"), F.col("bits").alias("label"))
+    found = components(stars[0].unionByName(stars[1]), labels)
+    return found.select(F.col("node").alias("bits"), F.col("label").alias("home"))
+
+
+def links(homes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of homes of which any two fingerprints are at most ``MAX_BITS`` apart."""
+    keyed = _keyed(homes)
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.home") < F.col("r.home")) & _near("l.bits", "r.bits")
-    rest = again.alias("l").join(again.alias("r"), apart).select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b"))
-    return first.unionByName(rest.distinct())
+    return keyed.alias("l").join(keyed.alias("r"), apart).select(F.col("l.home").alias("a"), F.col("r.home").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable)."""
     marked = written(fingerprints(df, id_col, text_col), "fingerprints")
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "classes")
-    edges = links(classes)
-    least = classes.select(F.col("bits").alias("node"), F.col("least").alias("label"))
-    component = components(edges, least).select(F.col("node").alias("bits"), F.col("label").alias("component_id"))
-    return marked.join(component, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    homes = written(homes_of(classes), "homes")
+    least = homes.join(classes, "bits").groupBy("home").agg(F.min("least").alias("label"))
+    component = components(links(homes), written(least.withColumnRenamed("home", "node"), "least"))
+    placed = homes.join(component, F.col("home") == F.col("node")).select("bits", F.col("label").alias("component_id"))
+    return marked.join(written(placed, "placed"), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
