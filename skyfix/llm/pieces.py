@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import columns
+from .shared import columns, sliced
 
-#: Entries after which a task starts its chunk table anew: about 100 MB of Python objects.
-TABLE_ENTRIES = 400_000
+#: Entries after which a task starts its chunk table anew: about 40 MB of Python objects.
+TABLE_ENTRIES = 150_000
 #: Texts encoded at a time, by characters, so that one batch of long texts stays small.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 400_000
 CHUNK = re.compile("▁+[^▁]*")
 
 
@@ -111,7 +111,7 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_file)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _groups(texts):
                 ids, sizes = table.encode(texts[a:b])

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -50,6 +53,9 @@ def drop_written(df: DataFrame) -> None:
 
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the columns an operator needs, under its own names, so extra ones can't clash."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":  # Spark's default; whole texts need smaller batches
+        conf.set(BATCH_ROWS, "1000")
     return df.select([F.col(f"`{old}`").alias(new) for new, old in named.items()])
 
 
@@ -73,3 +79,4 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker may now wait for another stage

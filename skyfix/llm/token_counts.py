@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .shared import columns, sliced
 
 #: Distinct words after which a task starts its table of counts anew.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 200_000
 
 
 class LongestMatch:
