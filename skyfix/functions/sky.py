@@ -18,10 +18,12 @@ def refraction(alt: Column) -> Column:
 
 
 def sun_equatorial(d: Column) -> tuple[Column, Column]:
-    """Right ascension and declination in radians (low precision, mean equinox of date)."""
+    """Right ascension and declination in radians (low precision). The series is of J2000; the
+    precession in longitude carries it to the equinox of date."""
     g = F.radians(357.5291 + 0.98560028 * d)
     centre = F.radians(1.9148 * F.sin(g) + 0.02 * F.sin(2 * g) + 0.0003 * F.sin(3 * g))
-    lon, e = g + centre + F.radians(F.lit(102.9372)) + 3.141592653589793, F.radians(23.4393 - 3.563e-7 * d)
+    c = d / 36525
+    lon, e = g + centre + F.radians(102.9372 + 1.396971 * c + 0.0003086 * c * c) + 3.141592653589793, F.radians(23.4393 - 3.563e-7 * d)
     return F.atan2(F.sin(lon) * F.cos(e), F.cos(lon)), F.asin(F.sin(e) * F.sin(lon))
 
 

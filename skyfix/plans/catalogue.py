@@ -12,22 +12,6 @@ from ..sources.reports import scraped
 from .adapters import CANDIDATES, OBSERVERS, TRACK, candidates, observers, table, track, wrapped_sql
 
 
-def sun_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apparent sun for every order's day at its customer's place."""
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "unix_millis(cast(o_orderdate as timestamp)) + (o_orderkey % 24) * 3600000 AS ms", "o_custkey % 60 * 1.0D AS lat", "o_custkey % 170 * -1.0D AS lon")
-    d = sky.days_j2000(F.col("ms"))
-    az, alt = sky.horizontal(*sky.sun_equatorial(d), d, F.col("lat"), F.col("lon"))
-    return o.select("o_orderkey", F.round(az, 4).alias("az"), F.round(alt, 4).alias("alt"))
-
-
-SQL_SUN = """WITH o AS (SELECT o_orderkey, (epoch_ms(o_orderdate) + (o_orderkey % 24) * 3600000) / 86400000.0 - 0.5 + 2440588 - 2451545 AS d, radians(o_custkey % 60 * 1.0) AS p, o_custkey % 170 * -1.0 AS lon FROM orders),
-g AS (SELECT *, radians(357.5291 + 0.98560028 * d) AS g, radians(23.4393 - 3.563e-7 * d) AS e FROM o),
-l AS (SELECT *, g + radians(1.9148 * sin(g) + 0.02 * sin(2 * g) + 0.0003 * sin(3 * g)) + radians(102.9372) + pi() AS l FROM g),
-q AS (SELECT *, radians(280.16 + 360.9856235 * d + lon) - atan2(sin(l) * cos(e), cos(l)) AS h, asin(sin(e) * sin(l)) AS dec FROM l),
-a AS (SELECT o_orderkey, degrees(asin(greatest(-1.0, least(1.0, sin(p) * sin(dec) + cos(p) * cos(dec) * cos(h))))) AS alt, degrees(atan2(sin(h), cos(h) * sin(p) - tan(dec) * cos(p))) + 540 AS az FROM q)
-SELECT o_orderkey, round(az % 360, 4) AS az, round(alt + CASE WHEN alt >= -1 THEN 1.0 / tan(radians(alt + 7.31 / (alt + 4.4))) / 60 ELSE 0 END, 4) AS alt FROM a"""
-
-
 def aurora_kp_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity of the three-hour bin that covers each event (an equi join on the bin), and
     what it means at the track's latitude."""
@@ -220,7 +204,7 @@ def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    (sun_position, SQL_SUN), (aurora_kp_bin, SQL_AURORA), (shower_active_wrap, SQL_SHOWERS), (balloon_verdicts, SQL_BALLOON), (wind_level_nearest, SQL_LEVELS), (weather_bounds, SQL_WEATHER), (airspace_point_in_ring, SQL_RING),
+    (aurora_kp_bin, SQL_AURORA), (shower_active_wrap, SQL_SHOWERS), (balloon_verdicts, SQL_BALLOON), (wind_level_nearest, SQL_LEVELS), (weather_bounds, SQL_WEATHER), (airspace_point_in_ring, SQL_RING),
     (urban_ray_slab, SQL_SLAB), (pins_worst_of_best, SQL_PINS), (sonde_launch_window, SQL_SONDE), (grade_worst_of, SQL_GRADE), (report_scrape_meta, SQL_SCRAPE), (gps_mismatch, SQL_GPS),
     (despike_sequential, ""), (nms_greedy, ""), (thin_by_gap, ""), (homography_fit, ""),
 )

@@ -1,7 +1,7 @@
 """Every query of the library beside those of ``llm``, with the SQL that must agree with it."""
 
-from . import catalogue, series, sighting
+from . import astronomy, catalogue, series, sighting
 
-QUERIES = {**sighting.QUERIES, **series.QUERIES, **catalogue.QUERIES}
-SQL = {**sighting.SQL, **series.SQL, **catalogue.SQL}
+QUERIES = {**sighting.QUERIES, **series.QUERIES, **catalogue.QUERIES, **astronomy.QUERIES}
+SQL = {**sighting.SQL, **series.SQL, **catalogue.SQL, **astronomy.SQL}
 FLAGSHIP = "los_fix_triangulate"

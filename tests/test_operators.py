@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from skyfix.functions import geodesy
-from skyfix.operators import folds, series, sightlines
+from skyfix.functions import geodesy, sky
+from skyfix.operators import ephemeris, folds, series, sightlines
 from skyfix.sources import logs
 from skyfix.streaming import live
 
@@ -76,3 +76,16 @@ def test_pins_hold_and_let_go(spark, tmp_path):
     q.awaitTermination(60)
     modes = [r.mode for r in spark.sql("select * from pins order by i").collect()]
     assert modes[:5] == ["lock", "lock", "hold", "hold", "lock"] and modes[-1] == "lost" and len(modes) == 16
+
+
+def test_almanac_days(spark):
+    """Published instants: the solstice sun, the full moon of 2025-03-14, Polaris near the pole."""
+    full, new = 1741935300000, 1743245880000
+    df = spark.createDataFrame([(full, 40.0, 0.0), (new, 40.0, 0.0)], "ms long, lat double, lon double")
+    lit = [r.moon_lit for r in ephemeris.with_moon(df, "ms", "lat", "lon").orderBy("ms").collect()]
+    assert lit[0] > 0.998 and lit[1] < 0.002
+    polar = ephemeris.stars(df, spark.createDataFrame([("Polaris", 37.955, 89.264)], "star string, ra double, dec double"), "ms", "lat", "lon").collect()
+    assert all(abs(r.star_alt - 40) < 0.8 for r in polar)
+    solstice = spark.createDataFrame([(1750473720000,)], "ms long").select(sky.sun_equatorial(sky.days_j2000(F.col("ms")))[1]).first()[0]
+    assert math.degrees(solstice) == pytest.approx(23.436, abs=0.01)
+    assert ephemeris.planets(df, "ms", "lat", "lon").count() == 10
