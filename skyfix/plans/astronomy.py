@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sky
-from ..operators import ephemeris
+from ..operators import ephemeris, geomagnetism
 from .adapters import table
 
 
@@ -97,6 +97,15 @@ c AS (SELECT *, d / 36525 AS c FROM p, s), a AS (SELECT *, radians(r0 + (2306.21
 q AS (SELECT o_orderkey, star, d, lat, lon, atan2(cos(b) * sin(a), cos(th) * cos(b) * cos(a) - sin(th) * sin(b)) + zeta AS ra, asin(sin(th) * cos(b) * cos(a) + cos(th) * sin(b)) AS dec FROM a), {_seen("q")}
 SELECT o_orderkey, star, round(az, 4) AS az, round(alt, 4) AS alt FROM seen"""
 
-_NAMES = ((sun_position, SQL_SUN), (moon_position, SQL_MOON), (planet_positions, SQL_PLANETS), (star_azel, SQL_STARS))
+
+
+def declination_low_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declination at every order's point by the model's terms up to degree 3."""
+    model = spark.createDataFrame(list(geomagnetism.LOW_DEGREES), geomagnetism.COLUMNS)
+    found = geomagnetism.with_declination(_sky_points(spark, sf_dir).withColumn("alt", F.lit(300.0)), model, "lat", "lon", "alt", "ms")
+    return found.select("o_orderkey", F.round("declination", 4).alias("declination"))
+
+
+_NAMES = ((sun_position, SQL_SUN), (moon_position, SQL_MOON), (planet_positions, SQL_PLANETS), (star_azel, SQL_STARS), (declination_low_degree, ""))
 QUERIES = {f.__name__: f for f, _ in _NAMES}
-SQL = {f.__name__: sql for f, sql in _NAMES}
+SQL = {f.__name__: sql for f, sql in _NAMES if sql}

@@ -1,7 +1,7 @@
 """Every query of the library beside those of ``llm``, with the SQL that must agree with it."""
 
-from . import astronomy, catalogue, series, sighting, terrain
+from . import astronomy, catalogue, series, sighting, sweep, terrain
 
-QUERIES = {**sighting.QUERIES, **series.QUERIES, **catalogue.QUERIES, **astronomy.QUERIES, **terrain.QUERIES}
-SQL = {**sighting.SQL, **series.SQL, **catalogue.SQL, **astronomy.SQL, **terrain.SQL}
+QUERIES = {**sighting.QUERIES, **series.QUERIES, **catalogue.QUERIES, **astronomy.QUERIES, **terrain.QUERIES, **sweep.QUERIES}
+SQL = {**sighting.SQL, **series.SQL, **catalogue.SQL, **astronomy.SQL, **terrain.SQL, **sweep.SQL}
 FLAGSHIP = "los_fix_triangulate"
