@@ -75,10 +75,12 @@ def with_moon(df: DataFrame, ms: str, lat: str, lon: str) -> DataFrame:
     return at.withColumns({"moon_az": az, "moon_alt": alt, "moon_lit": (1 + F.cos(phase)) / 2}).drop("_d", "_l", "_b", "_ra", "_dec", "_sra", "_sdec", "_apart", *[f"_arg_{k}" for k in MOON_ARGS])
 
 
-def eccentric_anomaly(mean: Column, e: Column) -> Column:
-    """Kepler's equation by eight Newton steps; ``mean`` in radians."""
-    step = lambda x, _: x - (x - e * F.sin(x) - mean) / (1 - e * F.cos(x))
-    return F.aggregate(F.array_repeat(F.lit(0), 8), mean + e * F.sin(mean) * (1 + e * F.cos(mean)), step)
+def with_eccentric_anomaly(df: DataFrame, name: str, mean: Column, e: Column) -> DataFrame:
+    """Kepler's equation by eight Newton steps, a projection each; ``mean`` in radians."""
+    x, at = F.col(name), df.withColumn(name, mean + e * F.sin(mean) * (1 + e * F.cos(mean)))
+    for _ in range(8):
+        at = at.withColumn(name, x - (x - e * F.sin(x) - mean) / (1 - e * F.cos(x)))
+    return at
 
 
 def _orbit(df: DataFrame, prefix: str, mean: Column, e: Column, axis: Column) -> DataFrame:
@@ -86,7 +88,7 @@ def _orbit(df: DataFrame, prefix: str, mean: Column, e: Column, axis: Column) ->
     m, x, r, v = (f"{prefix}{k}" for k in "mxrv")
     at = df.withColumns({m: F.radians(F.pmod(mean, F.lit(360.0))), f"{prefix}e": e})
     ecc = F.col(f"{prefix}e")
-    at = at.withColumn(x, eccentric_anomaly(F.col(m), ecc))
+    at = with_eccentric_anomaly(at, x, F.col(m), ecc)
     p, q = axis * (F.cos(x) - ecc), axis * F.sqrt(1 - ecc * ecc) * F.sin(x)
     return at.withColumns({v: F.atan2(q, p), r: F.hypot(p, q)})
 
