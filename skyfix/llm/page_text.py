@@ -8,7 +8,8 @@ and after it in view. Blocks labelled as article are the text. Weights come from
 ``training/train_page_text.py`` (bounded, generated pages) and travel with the job.
 
 Scripts, styles, comments, the head and form controls hold no visible text and make no
-blocks. Character references are decoded, white space inside a block becomes one space.
+blocks; a head without an end tag ends where anything else begins, and an element left open
+hides nothing after it unless its content is raw. Formulas are text of their line. Character references are decoded, white space inside a block becomes one space.
 
 Defined results: a null or empty page, or one without article blocks, has the empty text;
 pages of any length are read whole; repeated rows stay; other columns are ignored.
@@ -35,23 +36,72 @@ INPUT = PATH_SIZE + WORD_SIZE + MEASURES
 #: Pages labelled together, by padded blocks.
 GROUP_BLOCKS = 40_000
 
-#: Fixed values (HTML living standard): elements whose content is raw or never shown.
-HIDDEN = "script style noscript template title textarea select svg math iframe object canvas"
-#: Elements inside a line of text.
+#: Fixed values (HTML living standard): elements whose content is raw. Without an end tag
+#: those of ``TO_END`` run to the end of the page.
+RAW = set("script style title textarea iframe noscript".split())
+TO_END = set("script style title textarea".split())
+#: Elements never shown as text, from a start tag to its own end tag.
+HIDDEN = set("template select svg object canvas annotation annotation-xml".split())
+#: Elements inside a line of text, those of a formula among them.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr meta link base source".split())
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
+#: Elements that leave an open head open.
+OF_HEAD = set("head meta link base basefont bgsound noframes".split()) | RAW - {"textarea", "iframe"} | {"template"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{'|'.join(HIDDEN.split())})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=hidden)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z!?][^>]*+>",
     re.S | re.I,
 )
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: An element that opens inside one of these closes it first.
-CLOSES = {"p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+#: What any other element closes.
+CHOICES = {"option", "optgroup"}
 VOID = {"hr", "embed", "param", "col", "area", "track"}
 
 
+def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
+    """Tags and other markup in page order: start, end, ``/`` of an end tag, tag, attributes.
+
+    Comments, raw elements and hidden ones are one token without a tag. A hidden element ends
+    at its own end tag; where that is missing, only the start tag is left out.
+    """
+    found: list[tuple[int, int, str, str, str]] = []
+    opened: dict[str, list[int]] = {t: [] for t in HIDDEN}
+    endless: set[str] = set()
+    at = 0
+    while m := TOKEN.search(page, at):
+        start, at = m.span()
+        tag = (m["tag"] or "").lower()
+        if tag in RAW:
+            end = None if m["close"] or tag in endless else RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif not m["close"]:
+                endless.add(tag)
+                at = len(page) if tag in TO_END else at
+            # The head still sees which element it was.
+            found.append((start, at, "", "", tag))
+            continue
+        found.append((start, at, m["close"] or "", tag, m["attributes"] or ""))
+        if tag in HIDDEN:
+            if not m["close"]:
+                if tag != "svg" or not m["attributes"].endswith("/"):
+                    opened[tag].append(len(found) - 1)
+            elif opened[tag]:
+                first = opened[tag].pop()
+                start = found[first][0]
+                # What opened inside goes with it.
+                for places in opened.values():
+                    while places and places[-1] > first:
+                        places.pop()
+                del found[first:]
+                found.append((start, at, "", "", tag))
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, str, float]]:
     """Leaf blocks in page order: path, text, share of the text in links."""
     out: list[tuple[str, str, float]] = []
@@ -62,36 +112,46 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
     def close() -> None:
         nonlocal linked
         words = " ".join(html.unescape("".join(text)).split())
-        if words and not any(t == "head" for t, _ in stack):
+        if words and not any(t in ("head", "option") for t, _ in stack):
             out.append((" ".join(n for _, n in stack), words, min(1.0, linked / len(words))))
         text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-            linked += (m.start() - at) * (in_link > 0)
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag or tag in INLINE:
+    def leave(tag: str) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == tag:
+                del stack[i:]
+                break
+
+    for start, end, closes, tag, attributes in tokens(page):
+        if start > at:
+            # Text ends a head whose end tag is left out, as do all elements but those of a head.
+            if stack and stack[-1][0] == "head" and not page[at:start].isspace():
+                leave("head")
+            text.append(page[at:start])
+            linked += (start - at) * (in_link > 0)
+        at = end
+        if not closes and (tag or attributes) and any(t == "head" for t, _ in stack) and (tag or attributes) not in OF_HEAD:
+            close()
+            leave("head")
+        if not tag or tag in INLINE or tag in HIDDEN:
             if tag == "a":
-                in_link = 0 if m["close"] else 1
+                in_link = 0 if closes else 1
             elif tag in ("br", "img", "input"):
                 text.append(" ")
             continue
         close()
         in_link = 0
-        if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag not in VOID and not m["attributes"].endswith("/"):
-            ends = CLOSES.get(tag, {"p"})
+        if closes:
+            leave(tag)
+        elif tag not in VOID and not attributes.endswith("/"):
+            ends = CLOSES.get(tag, {"p"}) | (set() if tag in CHOICES else CHOICES)
             while stack and stack[-1][0] in ends:
                 stack.pop()
-            names = " ".join(a or b or c for a, b, c in NAMES.findall(m["attributes"])).lower()
+            names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
             stack.append((tag, " ".join([tag, *("." + n for n in re.split(r"[\s_-]+", names) if n)])))
+    if stack and stack[-1][0] == "head" and page[at:].strip():
+        leave("head")
     text.append(page[at:])
     close()
     return out

@@ -202,6 +202,33 @@ def test_page_text(spark):
     assert got[2] == got[3] == got[4] == ""
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<html><head><title>t</title><body><article><p>Text</p></article>", ["Text"]),
+        ("<head><meta charset=utf-8><title>t</title><p>Text</p>", ["Text"]),
+        ("<head><title>t</title>Bare <b>text</b><p>Next", ["Bare text", "Next"]),
+        ("<head><title>t</title><script>x</script><noscript>y</noscript></head><p>Text</p>", ["Text"]),
+        ("<p>A</p><svg><p>B</p>", ["A", "B"]),
+        ("<p>A</p><select><option>x<option>y<p>B</p>", ["A", "B"]),
+        ("<p>A</p><object><object>x</object><p>B</p>", ["A", "B"]),
+        ("<p>A<svg><svg>x</svg>y</svg></p><select><option>z</select><p>B</p>", ["A", "B"]),
+        ("<iframe><!-- </iframe><p>A</p><iframe><p>B</p><canvas><noscript><p>C</p>", ["A", "B", "C"]),
+        ("<p>A</p><script>var <p>x</p>", ["A"]),
+        ("<p>As <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> says.</p>", ["As E=m says."]),
+    ],
+)
+def test_elements_left_open_hide_nothing_else(page, expected):
+    assert [text for _, text, _ in page_text.blocks(page)] == expected
+
+
+def test_article_below_a_head_left_open(spark):
+    body = "<body><article><h1>A title</h1><p>First paragraph, with\nwords and more of them here.</p><p>Second one is here too, and it goes on.</p></article></body></html>"
+    pages = [(1, "u", f"<html><head><title>T</title></head>{body}"), (2, "u", f"<html><head><title>T</title>{body}")]
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert "First paragraph, with words" in got[1] and got[2] == got[1]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     import sentencepiece
