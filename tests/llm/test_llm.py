@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from skyfix.llm import decontaminate, page_text, personal_data, pieces, quality_rules, shards, simhash, substrings, token_counts, web_archive
+from skyfix.llm import decontaminate, near_copies, page_text, personal_data, pieces, quality_rules, shards, simhash, substrings, token_counts, web_archive
 from skyfix.llm.queries_pieces import model_path
 from skyfix.llm.queries_quality import SQL_QUALITY, op3_quality_rules
 from skyfix.llm.queries_token_counts import vocabulary
@@ -96,6 +96,31 @@ def test_simhash_components(spark):
     assert {r.doc_id for r in simhash.deduplicate(docs(spark, texts)).collect()} == set(home)
 
 
+def test_near_copies_at_the_similarity(spark):
+    """Copies just above and below 0.8, a chain, a star of copies, equal sets; against all pairs."""
+    import corpus_pipeline
+
+    base, long = words(5, 200, 9000).split(), words(6, 200, 9000).split()
+    changed = lambda w, places, tag: " ".join(f"{tag}{k}" if k in places else x for k, x in enumerate(w))
+    texts = ODD + [" ".join(base)] + [changed(base, range(3, 3 + 40 * n, 40), f"n{n}x") for n in range(1, 6)]
+    texts += [changed(base, {4 + k, 104 + k}, f"s{k}x") for k in range(0, 90, 3)]
+    texts += [changed(long, set(range(0, 30 * k, 10)), "c") for k in range(7)] + [" ".join(base).upper(), "a b c", "A  b C"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    home = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                    home[i] = home[j] = min(home[i], home[j])
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == home
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, texts), SF).collect()} == set(home)
+    assert near_copies.deduplicate(docs(spark, [])).count() == 0
+
+
 def test_benchmark_passages_with_substitutions(spark):
     item = [f"t{k}" for k in range(30)]
     swapped = item[5:21].copy()
