@@ -7,9 +7,11 @@ LSTM in NumPy reads the whole sequence, so each block is labelled with everythin
 and after it in view. Blocks labelled as article are the text. Weights come from
 ``training/train_page_text.py`` (bounded, generated pages) and travel with the job.
 
-Scripts, styles, comments, the head and form controls hold no visible text and make no
-blocks; a head without an end tag ends where anything else begins, and an element left open
-hides nothing after it unless its content is raw. Formulas are text of their line. Character references are decoded, white space inside a block becomes one space.
+Scripts, styles, comments, the head, frames and lists of choices hold no visible text and make
+no blocks; a head without an end tag ends where anything else begins, and an element left open
+hides nothing after it unless its content is raw. Text in formulas, drawings, objects and
+``noscript`` reaches the labeller like any other. Tags end where browsers end them. Character
+references are decoded, white space inside a block becomes one space.
 
 Defined results: a null or empty page, or one without article blocks, has the empty text;
 pages of any length are read whole; repeated rows stay; other columns are ignored.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 from zlib import crc32
@@ -33,63 +36,91 @@ WEIGHTS = Path(__file__).parent / "models" / "page_text.npz"
 #: Sizes of the hashed path and word vectors, the measures, and each direction's state.
 PATH_SIZE, WORD_SIZE, MEASURES, STATE = 64, 16, 8, 16
 INPUT = PATH_SIZE + WORD_SIZE + MEASURES
-#: Pages labelled together, by padded blocks.
+#: Pages labelled together, by padded blocks; a longer page is read in stretches of so many.
 GROUP_BLOCKS = 40_000
 
 #: Fixed values (HTML living standard): elements whose content is raw. Without an end tag
 #: those of ``TO_END`` run to the end of the page.
-RAW = set("script style title textarea iframe noscript".split())
+RAW = set("script style title textarea iframe".split())
 TO_END = set("script style title textarea".split())
 #: Elements never shown as text, from a start tag to its own end tag.
-HIDDEN = set("template select svg object canvas annotation annotation-xml".split())
-#: Elements inside a line of text, those of a formula among them.
+HIDDEN = set("template select datalist desc metadata annotation annotation-xml".split())
+#: Elements inside a line of text, drawings and formulas among them.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr meta link base source".split())
 INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
+INLINE |= set("object canvas svg g path rect circle ellipse line polygon polyline defs use symbol text tspan".split())
+#: Elements that are a block of their own unless a paragraph is open around them.
+EITHER = {"noscript"}
 #: Elements that leave an open head open.
-OF_HEAD = set("head meta link base basefont bgsound noframes".split()) | RAW - {"textarea", "iframe"} | {"template"}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-zA-Z!?][^>]*+>",
-    re.S | re.I,
+OF_HEAD = set("head meta link base basefont bgsound noframes script style title noscript template".split())
+SPACE = r"[\t\n\f\r ]"
+#: A tag as browsers end it: a quote opens a value only behind an equals sign. A value whose
+#: quote never closes ends like one without quotes.
+TAG = re.compile(
+    r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\t\n\f\r />]*+)"
+    rf"(?P<attributes>(?:[\t\n\f\r /]++|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{SPACE}*+={SPACE}*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\t\n\f\r >]++)?+)?+)*+)>"
 )
-RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: A tag that just ends at the next ``>``, once some tag of the page has no end.
+BARE_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\t\n\f\r />]*+)(?P<attributes>[^>]*+)>")
+MARKUP = re.compile(r"<(?:/?[a-zA-Z]|[!?]|/[^a-zA-Z])")
+COMMENT_END = re.compile(r"--!?>")
+RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I) for t in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: An element that opens inside one of these closes it first.
 CLOSES = {"p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 #: What any other element closes.
 CHOICES = {"option", "optgroup"}
 VOID = {"hr", "embed", "param", "col", "area", "track"}
+#: Inline elements that part the words around them.
+APART = set("br img input object canvas svg text".split())
+PATH_ENDS = 12
 
 
 def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
     """Tags and other markup in page order: start, end, ``/`` of an end tag, tag, attributes.
 
     Comments, raw elements and hidden ones are one token without a tag. A hidden element ends
-    at its own end tag; where that is missing, only the start tag is left out.
+    at its own end tag; where that is missing, only the start tag is left out. Each character
+    is read a bounded number of times: after the first tag without an end, tags end at ``>``.
     """
     found: list[tuple[int, int, str, str, str]] = []
     opened: dict[str, list[int]] = {t: [] for t in HIDDEN}
     endless: set[str] = set()
-    at = 0
-    while m := TOKEN.search(page, at):
-        start, at = m.span()
-        tag = (m["tag"] or "").lower()
+    pattern, at = TAG, 0
+    while mark := MARKUP.search(page, at):
+        start = mark.start()
+        if not page[start + 1].isalpha() and not (page[start + 1] == "/" and page[start + 2].isalpha()):
+            if page.startswith("<!--", start):
+                # ``<!-->`` and ``<!--->`` are whole comments.
+                end = COMMENT_END.search(page, start + 2) if page.startswith((">", "->"), start + 4) else COMMENT_END.search(page, start + 4)
+                at = end.end() if end else len(page)
+            else:
+                at = page.find(">", start) + 1 or len(page)
+            found.append((start, at, "", "", ""))
+            continue
+        m = pattern.match(page, start)
+        if not m and pattern is TAG:
+            pattern = BARE_TAG
+            m = pattern.match(page, start)
+        if not m:
+            break  # no tag ends any more: the rest is text
+        at = m.end()
+        tag = m["tag"].lower()
         if tag in RAW:
             end = None if m["close"] or tag in endless else RAW_END[tag].search(page, at)
             if end:
-                at = end.end()
+                close = pattern.match(page, end.start())
+                at = close.end() if close else len(page)
             elif not m["close"]:
                 endless.add(tag)
                 at = len(page) if tag in TO_END else at
             # The head still sees which element it was.
             found.append((start, at, "", "", tag))
             continue
-        found.append((start, at, m["close"] or "", tag, m["attributes"] or ""))
+        found.append((start, at, m["close"], tag, m["attributes"]))
         if tag in HIDDEN:
             if not m["close"]:
-                if tag != "svg" or not m["attributes"].endswith("/"):
-                    opened[tag].append(len(found) - 1)
+                opened[tag].append(len(found) - 1)
             elif opened[tag]:
                 first = opened[tag].pop()
                 start = found[first][0]
@@ -103,24 +134,30 @@ def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
 
 
 def blocks(page: str) -> list[tuple[str, str, float]]:
-    """Leaf blocks in page order: path, text, share of the text in links."""
+    """Leaf blocks in page order: path, text, share of the text in links.
+
+    A path of more than twice ``PATH_ENDS`` elements keeps that many at both of its ends.
+    """
     out: list[tuple[str, str, float]] = []
     stack: list[tuple[str, str]] = []
+    depth: Counter[str] = Counter()
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         words = " ".join(html.unescape("".join(text)).split())
-        if words and not any(t in ("head", "option") for t, _ in stack):
-            out.append((" ".join(n for _, n in stack), words, min(1.0, linked / len(words))))
+        if words and not depth["head"] and not depth["option"]:
+            ends = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+            out.append((" ".join(n for _, n in ends), words, min(1.0, linked / len(words))))
         text.clear()
         linked = 0
 
     def leave(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
+        while depth[tag]:
+            name, _ = stack.pop()
+            depth[name] -= 1
+            if name == tag:
                 break
 
     for start, end, closes, tag, attributes in tokens(page):
@@ -131,13 +168,13 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             text.append(page[at:start])
             linked += (start - at) * (in_link > 0)
         at = end
-        if not closes and (tag or attributes) and any(t == "head" for t, _ in stack) and (tag or attributes) not in OF_HEAD:
+        if not closes and (tag or attributes) and depth["head"] and (tag or attributes) not in OF_HEAD:
             close()
             leave("head")
-        if not tag or tag in INLINE or tag in HIDDEN:
+        if not tag or tag in INLINE or tag in HIDDEN or (tag in EITHER and depth["p"]):
             if tag == "a":
                 in_link = 0 if closes else 1
-            elif tag in ("br", "img", "input"):
+            elif tag in APART:
                 text.append(" ")
             continue
         close()
@@ -147,9 +184,10 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         elif tag not in VOID and not attributes.endswith("/"):
             ends = CLOSES.get(tag, {"p"}) | (set() if tag in CHOICES else CHOICES)
             while stack and stack[-1][0] in ends:
-                stack.pop()
+                leave(stack[-1][0])
             names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
             stack.append((tag, " ".join([tag, *("." + n for n in re.split(r"[\s_-]+", names) if n)])))
+            depth[tag] += 1
     if stack and stack[-1][0] == "head" and page[at:].strip():
         leave("head")
     text.append(page[at:])
@@ -169,7 +207,8 @@ def path_vector(path: str) -> np.ndarray:
     return np.minimum(v, 2.0)
 
 
-def features(found: list[tuple[str, str, float]], paths: dict[str, np.ndarray]) -> np.ndarray:
+def features(found: list[tuple[str, str, float]], paths: dict[str, np.ndarray], first: int = 0, total: int = 0) -> np.ndarray:
+    """Vectors of a page's blocks, or of those from ``first`` on of a page of ``total``."""
     x = np.zeros((len(found), INPUT), np.float32)
     for i, (path, text, linked) in enumerate(found):
         if path not in paths:
@@ -183,16 +222,20 @@ def features(found: list[tuple[str, str, float]], paths: dict[str, np.ndarray])
         n = len(text)
         x[i, PATH_SIZE + WORD_SIZE :] = (
             np.log1p(len(words)) / 5, np.log1p(n) / 7, linked, text[-1] in ".!?…:\"", text.count(",") / (1 + len(words)),
-            sum(map(text.count, "©|»·")) > 0, len(words) > 12, i / len(found),
+            sum(map(text.count, "©|»·")) > 0, len(words) > 12, (first + i) / (total or len(found)),
         )
     return x
 
 
-def lstm(x: np.ndarray, lengths: np.ndarray, w: dict[str, np.ndarray], side: str) -> np.ndarray:
-    """States of one direction over padded sequences ``x[page, place, :]`` (the caller reverses)."""
+State = tuple[np.ndarray, np.ndarray]
+
+
+def lstm(x: np.ndarray, w: dict[str, np.ndarray], side: str, state: State | None = None) -> tuple[np.ndarray, State]:
+    """Outputs of one direction over padded sequences ``x[page, place, :]`` (the caller
+    reverses), and the state to go on from."""
     n, steps, _ = x.shape
     into = x @ w[side + "x"] + w[side + "b"]
-    h, c = np.zeros((n, STATE), np.float32), np.zeros((n, STATE), np.float32)
+    h, c = state or (np.zeros((n, STATE), np.float32), np.zeros((n, STATE), np.float32))
     out = np.zeros((n, steps, STATE), np.float32)
     for t in range(steps):
         z = into[:, t] + h @ w[side + "h"]
@@ -201,7 +244,7 @@ def lstm(x: np.ndarray, lengths: np.ndarray, w: dict[str, np.ndarray], side: str
         c = f * c + i * np.tanh(z[:, 3 * STATE :])
         h = o * np.tanh(c)
         out[:, t] = h
-    return out
+    return out, (h, c)
 
 
 def reversed_rows(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -226,8 +269,8 @@ def scores(pages: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarray
             x = np.zeros((len(group), lengths.max(), INPUT), np.float32)
             for row, j in enumerate(group):
                 x[row, : len(pages[j])] = pages[j]
-            ahead = lstm(x, lengths, w, "f")
-            back = reversed_rows(lstm(reversed_rows(x, lengths), lengths, w, "r"), lengths)
+            ahead, _ = lstm(x, w, "f")
+            back = reversed_rows(lstm(reversed_rows(x, lengths), w, "r")[0], lengths)
             z = np.concatenate([ahead, back, x], axis=2) @ w["out"] + w["bias"]
             for row, j in enumerate(group):
                 out[j] = z[row, : lengths[row], 0]
@@ -235,6 +278,25 @@ def scores(pages: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarray
     return out
 
 
+def long_scores(found: list[tuple[str, str, float]], paths: dict[str, np.ndarray], w: dict[str, np.ndarray], step: int = GROUP_BLOCKS) -> np.ndarray:
+    """The same for one page of any length, ``step`` blocks at a time: each direction's state
+    goes on from one stretch to the next, so vectors of the whole page never stand side by side."""
+    z = np.zeros(len(found), np.float32)
+    starts = range(0, len(found), step)
+    vectors = lambda at: features(found[at : at + step], paths, at, len(found))[None]
+    parts = {"f": w["out"][:STATE], "r": w["out"][STATE : 2 * STATE], "": w["out"][2 * STATE :]}
+    state = None
+    for at in starts:
+        x = vectors(at)
+        out, state = lstm(x, w, "f", state)
+        z[at : at + step] += (out @ parts["f"] + x @ parts[""] + w["bias"])[0, :, 0]
+    state = None
+    for at in reversed(starts):
+        out, state = lstm(vectors(at)[:, ::-1], w, "r", state)
+        z[at : at + step] += (out @ parts["r"])[0, ::-1, 0]
+    return z
+
+
 def load_weights() -> dict[str, np.ndarray]:
     with np.load(WEIGHTS) as f:
         return {k: f[k].astype(np.float32) for k in f.files}
@@ -252,7 +314,8 @@ def label(df: DataFrame, id_col: str = "page_id", html_col: str = "html", url_co
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [blocks(p or "") for p in part.column(2).to_pylist()]
-                scored = scores([features(b, paths) for b in found], weights)
+                scored = scores([features(b, paths) if len(b) <= GROUP_BLOCKS else features([], paths) for b in found], weights)
+                scored = [long_scores(b, paths, weights) if len(b) > GROUP_BLOCKS else z for b, z in zip(found, scored)]
                 ends = np.concatenate([[0], np.cumsum([len(b) for b in found])])
                 flat = pa.StructArray.from_arrays(
                     [pa.array([x[0] for b in found for x in b], pa.string()), pa.array([x[1] for b in found for x in b], pa.string()), pa.array(np.concatenate([np.zeros(0, np.float32), *scored]), pa.float32())],

@@ -48,7 +48,7 @@ def page(r: random.Random) -> str:
         return r.choice([f"<aside>{inner}</aside>", f'<div class="{cls(["sidebar", "side", "related", "widget", "recommended"])}">{inner}</div>', f'<aside class="sidebar">{inner}</aside>'])
 
     def notice() -> str:
-        return f'<div {r.choice(["class", "id"])}="{cls(["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popup", "subscribe", "paywall"])}">{r.choice([p(6, 20), f"<p>{p(6, 20)}</p>"])}{r.choice(["", "<button>Ok</button>"])}</div>'
+        return f'<div {r.choice(["class", "id"])}="{cls(["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popup", "subscribe", "paywall"])}">{r.choice([p(6, 20), f"<p>{p(6, 20)}</p>"])}{r.choice(["", "<button>Ok</button>"])}</div>' if r.random() < 0.8 else f"<noscript>{r.choice([p(4, 16), f'<p>{p(4, 16)}</p>'])}</noscript>"
 
     def form() -> str:
         return r.choice([f"<form><label>{p(1, 3)}</label><input><button>{words(r, 1)}</button></form>", f'<form class="{cls(["search", "signup", "login", "newsletter"])}"><p>{p(3, 10)}</p><input name="q"><button>{words(r, 2)}</button></form>', f'<div class="newsletter"><form>{p(3, 9)}<input></form></div>'])
