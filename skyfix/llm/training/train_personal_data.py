@@ -19,13 +19,17 @@ ROWS = 12_000
 ROUNDS, DEPTH, RATE = 40, 3, 0.3
 #: Least share of right ones among the held-out candidates above a threshold.
 PRECISION = 0.97
+#: The share of examples that only choose the thresholds; their templates are others.
+HELD = 4
 WORDS = "the of report call when market house water under people before number found river light open story place early value north paper small table street garden music winter".split()
 
 
-def example(r: random.Random) -> tuple[str, bool]:
-    """A text with one candidate, and whether that is personal data."""
+def example(r: random.Random, held: bool = False) -> tuple[str, bool]:
+    """A text with one candidate, and whether that is personal data. What is held out has
+    formats and words before them that the trees have not seen."""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    base64 = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) + r.choice(["", "=", "=="])
     mixed = lambda n: "".join(r.choice("ABCDEFGHabcdefghjkmnpqrstuvwxyz0123456789_-") for _ in range(n))
     words = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
     name = lambda: r.choice(WORDS) + r.choice("._-") + r.choice(WORDS)
@@ -36,7 +40,7 @@ def example(r: random.Random) -> tuple[str, bool]:
         (True, lambda: (r.choice(["ssn ", "social security ", ""]), f"{d(3)}-{d(2)}-{d(4)}")),
         (True, lambda: (r.choice(["passport ", "tax id "]), d(9))),
         (True, lambda: (r.choice(["iban ", "account ", "transfer to ", ""]), f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{d(2)}" + "".join(r.choice([" ", ""]) * (i % 4 == 0) + d(1) for i in range(r.randint(14, 22))))),
-        (True, lambda: (r.choice(["token = \"", "api_key=", "secret: ", "password = ", "key = \"", "bearer "]), r.choice([hexes(40), hexes(32), mixed(24), mixed(36)]))),
+        (True, lambda: (r.choice(["token = \"", "api_key=", "secret: ", "password = ", "key = \"", "bearer "]), r.choice([hexes(40), hexes(32), mixed(24), mixed(36), base64(40), base64(30)]))),
         (True, lambda: ("", r.choice(["sk_live_", "ghp_", "AKIA", "xoxb-"]) + mixed(26))),
         (True, lambda: ("", f"{name()} {r.choice(['[at]', '(at)', '[ at ]'])} {r.choice(WORDS)} {r.choice(['[dot]', '(dot)', '.'])} com")),
         (False, lambda: (r.choice(["on ", "since ", ""]), r.choice([f"20{d(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.19{d(2)}", f"19{d(2)}-20{d(2)}"]))),
@@ -45,10 +49,23 @@ def example(r: random.Random) -> tuple[str, bool]:
         (False, lambda: (r.choice(["", "see ", "figure "]), "-".join(r.choice(WORDS) for _ in range(4)))),
         (False, lambda: (r.choice(["http://a.example/", "/usr/lib/", "img#", "page?id=", "www.site.example/"]), r.choice([f"{name()}-{d(4)}-{name()}", f"{r.choice(WORDS)}_{d(6)}_{r.choice(WORDS)}", "x".join(d(3) for _ in range(5))]))),
         (False, lambda: (r.choice(["commit ", "checksum ", "sha256 ", "md5 "]), hexes(40))),
+        (False, lambda: (r.choice(["", "in ", "see "]), "/".join([r.choice(["", "usr", "home"]), *(r.choice([r.choice(WORDS), d(4)]) for _ in range(r.randint(4, 7)))]))),
         (False, lambda: ("", r.choice(["_" * 18 + "1", "-" * 20 + "2", "1" * 20, "Donaudampfschifffahrt" + d(1)]))),
         (False, lambda: ("", f"see {r.choice(WORDS)} (at) the {r.choice(WORDS)} . {r.choice(WORDS)}")),
     ]
-    good, make = r.choice(makers)
+    unseen = [
+        (True, lambda: (r.choice(["sms to ", "fax ", "whatsapp "]), r.choice([f"({d(3)}) {d(3)} {d(4)}", f"{d(3)}/{d(3)}-{d(4)}", f"({d(4)}) {d(6)}"]))),
+        (True, lambda: (r.choice(["security number ", "my ssn: "]), r.choice([f"{d(3)} {d(2)} {d(4)}", f"{d(3)}-{d(2)}-{d(4)}"]))),
+        (True, lambda: (r.choice(["bank ", "swift "]), f"{r.choice(['IT', 'NL', 'PL'])}{d(2)} " + " ".join(d(4) for _ in range(4)))),
+        (True, lambda: (r.choice(["auth: ", "credential='", "API_KEY='"]), r.choice([mixed(30), hexes(64), base64(48)]))),
+        (True, lambda: ("", f"{name()}(at){r.choice(WORDS)}(dot){r.choice(WORDS)} (dot) org")),
+        (False, lambda: (r.choice(["table ", "page ", "issue ", "sku "]), r.choice([d(8), d(10), f"{d(4)}-{d(4)}", f"{d(3)}.{d(3)}.{d(3)}"]))),
+        (False, lambda: (r.choice(["", "from "]), f"{r.randint(1, 12)}/{r.randint(1, 28)}/20{d(2)} {d(2)}")),
+        (False, lambda: (r.choice(["https://b.example/", "../", "#"]), r.choice([f"{d(6)}/{r.choice(WORDS)}-{r.choice(WORDS)}-{d(3)}", f"{r.choice(WORDS)}_{r.choice(WORDS)}_v{d(2)}_{r.choice(WORDS)}"]))),
+        (False, lambda: (r.choice(["", "about "]), r.choice([" ".join(d(2) for _ in range(6)), d(11), d(18), f"{d(5)} {d(5)}"]))),
+        (False, lambda: (r.choice(["md5: ", "commit "]), hexes(32))),
+    ]
+    good, make = r.choice(unseen if held else makers)
     cue, span = make()
     return f"{words(r.randint(1, 6))} {cue}{span}{r.choice(['', '.', ',', chr(34)])} {words(4)}", good
 
@@ -88,12 +105,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[dict], np.ndarray]:
 def main() -> None:
     spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
     r = random.Random(7)
-    rows = [(i, *example(r)) for i in range(ROWS)]
+    rows = [(i, *example(r, i % HELD == 0)) for i in range(ROWS)]
     made = with_candidates(with_base(_texts(spark.createDataFrame(rows, "doc_id long, text string, good boolean"), "doc_id", "text")))
     got = made.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.k", "c.f.*").toPandas()
     y = np.array([rows[i][2] for i in got["doc_id"]], float)
     x = got[list(FEATURES)].to_numpy(float)
-    held = got["doc_id"].to_numpy() % 4 == 0
+    held = got["doc_id"].to_numpy() % HELD == 0
     start, trees, _ = fit(x[~held], y[~held])
     model = {"start": round(start, 6), "trees": trees}
 
