@@ -3,7 +3,9 @@
 Each round every node takes the smallest root among its neighbours' and its own, then
 edges move to those roots and edges inside one root go (hook and shortcut). The edge table
 shrinks by a constant factor a round or more; the driver sees one count a round. Rounds
-are written to the shared folder, so lineage stays short and lost executors cost little.
+are written to the shared folder, so lineage stays short and lost executors cost little. So
+are the aggregates of each join: both of its sides are then read anew, and a hub's rows, of
+which there may be many, can be split over tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .membership import one_of_each, row_key, without
 from .shared import drop_written, written
 
 
@@ -27,14 +30,14 @@ def roots(edges: DataFrame) -> tuple[DataFrame | None, int]:
     rounds, before = 0, None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(low.select("u", F.col("m").alias("v")).union(moved).where("u <> v").distinct(), "edges")
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if rounds:
-            drop_written(now)
+        for used in (now, least, large, low):
+            drop_written(used)
         now, rounds = after, rounds + 1
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")), rounds
@@ -46,6 +49,21 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     found, _ = roots(edges)
     if found is None:
         return labels
-    home = labels.join(found, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root"))
-    least = home.groupBy("root").agg(F.min("label").alias("least"))
+    home = written(labels.join(found, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")), "home")
+    least = written(home.groupBy("root").agg(F.min("label").alias("least")), "least")
     return home.join(least, "root").select("node", F.col("least").alias("label"))
+
+
+def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text``: rows told apart by id and text, in the order of their ids, null last."""
+    none, key = F.col(f"`{id_col}`").isNull(), row_key(id_col, text_col)
+    return df.select(F.struct(none.alias("none"), F.col(f"`{id_col}`").alias("id"), key.alias("key")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def first_of_each(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with the first row of each component of ``found`` (``doc_id`` as ``identified``
+    gives it, ``component_id``); of repeated rows one stays."""
+    found, key = written(found, "groups"), row_key(id_col, text_col)
+    gone = written(found.where("doc_id <> component_id").select("doc_id.key").distinct(), "duplicates")
+    twice = written(found.where("doc_id = component_id").groupBy("doc_id.key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    return one_of_each(without(df, gone, key), twice, key)

@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .membership import without
+from .components import components, first_of_each, identified
 from .shared import columns, sliced, written
 
 SHINGLE_WORDS = 4
@@ -195,8 +194,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each component, that with the smallest id. Rows that share
-    an id count as one document; rows with a null id stay."""
-    found = near_duplicates(df, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return without(df, written(gone, "duplicates"), id_col)
+    """``df`` with one row of each component: that with the smallest id, a null id last. Rows
+    are told apart by id and text, so of repeated rows one stays."""
+    found = near_duplicates(identified(df, id_col, text_col)).select("doc_id", "component_id")
+    return first_of_each(df, found, id_col, text_col)

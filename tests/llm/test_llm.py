@@ -176,9 +176,9 @@ def test_shards(spark):
     assert shards.assign(docs(spark, []), 6).count() == 0
 
 
-@pytest.mark.parametrize("group", [1, 256])
+@pytest.mark.parametrize("group", [1, 3000, 1 << 20])
 def test_repeated_windows(spark, group, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)
     shared = words(77, 70, 5000)
     texts = ODD + [f"{words(k, 40)} {shared} {words(k + 50, 30)}" for k in range(8)] + [shared, words(1, 300) + " tail", "For " * 130, "For " * 60]
     first, exp = {}, {}
@@ -236,8 +236,8 @@ def test_page_text(spark):
         ("<head><title>t</title><script>x</script><noscript>y</noscript></head><p>Text</p>", ["Text"]),
         ("<p>A</p><svg><p>B</p>", ["A", "B"]),
         ("<p>A</p><select><option>x<option>y<p>B</p>", ["A", "B"]),
-        ("<p>A</p><object><object>x</object><p>B</p>", ["A", "B"]),
-        ("<p>A<svg><svg>x</svg>y</svg></p><select><option>z</select><p>B</p>", ["A", "B"]),
+        ("<p>A</p><object><object>x</object><p>B</p>", ["A", "x", "B"]),
+        ("<p>A<svg><svg>x</svg>y</svg></p><select><option>z</select><p>B</p>", ["A x y", "B"]),
         ("<iframe><!-- </iframe><p>A</p><iframe><p>B</p><canvas><noscript><p>C</p>", ["A", "B", "C"]),
         ("<p>A</p><script>var <p>x</p>", ["A"]),
         ("<p>As <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> says.</p>", ["As E=m says."]),
