@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
-from .web_archive import field, id_field, read_archive, write_archive
+from .web_archive import field, id_field, parsed, read_archive, write_archive
 
 
 def op1_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_archive(*write_archive(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    back = parsed(read_archive(*write_archive(table(spark, sf_dir, "pages"), "page_id", "url", "html")))
     return back.select(
         id_field("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest",
         field("WARC-Type").alias("record_type"), id_field("WARC-Refers-To").alias("refers_to"),

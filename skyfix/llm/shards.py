@@ -1,22 +1,25 @@
 """Sharding by sampled splitters: shards of nearly equal bytes over one global key order.
 
 Records are ordered by the hash of their text, then of their id, so copies of one text are
-neighbours and stay in one shard but where a shard must end inside their group. Keys are
+neighbours. A group of copies that is no larger than the largest record, or than a fortieth of
+a shard, is never cut; larger ones are cut where a shard must end inside them. Keys are
 sampled with a chance in proportion to their size (a bounded sample, whatever the input),
 and their quantiles split the order into many fine ranges. Ranges that still hold too many
 rows (many tiny records) are sampled again, row by row, and subdivided. Inside a range a
 running sum, and before it the sum of all earlier ranges, give each record its exact place
-among all bytes: the shard is the part of the total in which the record's middle lies, so
-two shards differ by about one record. Only keys, sizes and checksums are shuffled.
+among all bytes: the shard is the part of the total in which the middle of the record, or of
+its uncut group, lies, so two shards differ by about one of these. Only keys, sizes and checksums are shuffled.
 
 Defined results: a null text has no bytes and, like the empty one, checksum 0; a null id is
-ordered by its hash; repeated rows are neighbours; no rows give no shards; other columns
+ordered by its hash; repeated rows (equal in id and text) are neighbours, each in a place of
+its own, so that many of them can be subdivided like any other group; no rows give no shards; other columns
 are ignored by ``assign``.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .membership import bitmap, marked
 from .shared import columns, written
 
 LAW = "bytes"
@@ -31,6 +35,9 @@ LAW = "bytes"
 RECORD_BYTES = 8
 #: Fine ranges, and keys sampled for each of them.
 RANGES, SAMPLED = 768, 16
+#: The part of a shard up to which a group of copies is not cut.
+WHOLE = 1 / 40
+LEAST = -(2**63)
 #: A range is overfull with more rows than so many times the mean.
 OVERFULL = 2
 
@@ -78,7 +85,19 @@ def splitters_of(keys: DataFrame, ranges: int = RANGES) -> list[tuple[int, int]]
         for r, own in by_range.items():
             parts = max(1, round(counted[r] / mean))
             found = found + [own[i * len(own) // parts] for i in range(1, parts)]
-    return sorted(set(found))
+    # A splitter inside a group goes to the group's start, but where a group has several.
+    often = Counter(k for k, _ in set(found))
+    return sorted({(k, o if often[k] > 1 else LEAST) for k, o in found})
+
+
+def _apart(keys: DataFrame) -> DataFrame:
+    """Keys, written, of which no two are equal."""
+    twice = written(keys.groupBy("k", "o").agg(F.count("*").alias("n")).where("n > 1").select("k", "o"), "twice")
+    if twice.isEmpty():
+        return keys
+    split = marked(keys, ["k", "o"], bitmap(twice, ["k", "o"]))
+    own = F.when(F.col("_maybe"), F.xxhash64("o", F.monotonically_increasing_id())).otherwise(F.col("o"))
+    return written(split.withColumn("o", own).drop("_maybe"), "keys-apart")
 
 
 def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,19 +107,24 @@ def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "
         "doc_id", F.xxhash64("text").alias("k"), F.xxhash64("doc_id").alias("o"),
         (F.octet_length("text") + F.lit(RECORD_BYTES)).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
     )
-    keys = written(keys, "keys")
+    keys = _apart(written(keys, "keys"))
     ranged = written(_in_ranges(keys, splitters_of(keys)), "ranged")
     # One row per range, at most RANGES and their subdivisions: the driver adds them up.
-    at, before, places = 0, 0, []
-    for r in sorted(ranged.groupBy("r").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()):
+    at, before, places, largest = 0, 0, [], 0
+    for r in sorted(ranged.groupBy("r").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("size").alias("most")).collect()):
         places.append((r.r, before, at))
-        before, at = before + r.size, at + r.n
+        before, at, largest = before + r.size, at + r.n, max(largest, r.most)
     offsets = df.sparkSession.createDataFrame(places, "r int, bytes_before long, rows_before long")
     w = Window.partitionBy("r").orderBy("k", "o")
-    until = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.withColumn("sum", F.sum("size").over(until)).withColumn("row", F.row_number().over(w))
+    until, ends = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("r").orderBy("k")  # equal keys together
+    placed = ranged.withColumns({"sum": F.sum("size").over(until), "row": F.row_number().over(w), "group_end": F.sum("size").over(ends)})
+    # The end of the group before is seen by a group's first row, and is the greatest so far.
+    placed = placed.withColumn("own_begin", F.when(F.lag("k").over(w).isNull() | (F.lag("k").over(w) != F.col("k")), F.col("sum") - F.col("size")))
+    placed = placed.withColumn("group_begin", F.max("own_begin").over(until))
     placed = placed.join(F.broadcast(offsets), "r")
-    middle = F.col("bytes_before") + F.col("sum") - F.col("size") / 2
+    whole = F.col("group_end") - F.col("group_begin")
+    fits = whole <= max(largest, before * WHOLE / shards)
+    middle = F.col("bytes_before") + F.when(fits, (F.col("group_begin") + F.col("group_end")) / 2).otherwise(F.col("sum") - F.col("size") / 2)
     placed = placed.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * (shards / max(before, 1)))).cast("int").alias("shard"), (F.col("rows_before") + F.col("row") - 1).alias("row"))
     placed = written(placed, "placed")
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row per shard

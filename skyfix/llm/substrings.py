@@ -198,14 +198,11 @@ def _nodes(merged: DataFrame, window: int) -> list[DataFrame]:
     every = window - min(GRAM, window) + 1
     for parts in (min(PARTS, every), every):
         large = written(rows.groupBy("key").agg(F.sum(F.octet_length("words")).alias("size")).where(F.col("size") > GROUP_BYTES).select("key"), "large")
-        split = marked(rows, ["key"], bitmap(large, ["key"]))
-        maybe = split.where("_maybe").drop("_maybe")
-        small = split.where("not _maybe").drop("_maybe").unionByName(maybe.join(large, "key", "left_anti"))
-        small = small.repartition(fan_out(rows.sparkSession), "key").sortWithinPartitions("key")
+        small = rows.join(large, "key", "left_anti").repartition(fan_out(rows.sparkSession), "key").sortWithinPartitions("key")
         found.append(_subtrees(small, window))
         if large.isEmpty():
             return found
-        rows = written(_lengthened(maybe.join(large, "key", "left_semi"), parts, window), "lengthened")
+        rows = written(_lengthened(rows.join(large, "key", "left_semi"), parts, window), "lengthened")
     # The prefix is the whole suffix now, so all rows of a key are leaves of one node.
     nodes = written(rows.groupBy("key").agg(F.min("least").alias("low")), "nodes")
     found.append(rows.select("key", "context", "i").join(nodes, "key").select("context", "i", F.array("low").alias("lows")))

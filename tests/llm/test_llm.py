@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small fixtures."""
 
+import base64
 import hashlib
 import math
 import random
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skyfix.llm import decontaminate, near_copies, page_text, personal_data, pieces, quality_rules, shards, simhash, substrings, token_counts, web_archive
 from skyfix.llm.queries_pieces import model_path
@@ -46,15 +48,20 @@ def test_sql(spark, query, sql):
 
 
 def test_archive_gives_back_every_record(spark):
-    df = spark.createDataFrame([(3, "u", "x"), (1, "v", "x"), (2, None, None), (5, "w", ""), (5, "w", ""), (None, "q", "x")], "page_id long, url string, html string")
-    back = web_archive.read_archive(*web_archive.write_archive(df, "page_id", "url", "html")).collect()
-    assert len(back) == 6
-    kinds = sorted(re.search(r"WARC-Type: (\w+)", r.header)[1] for r in back)
-    assert kinds == ["response", "response", "revisit", "revisit", "revisit", "revisit"]
-    for r in back:
-        head, _, body = bytes(r.record).partition(b"\r\n\r\n")
-        length = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
-        assert len(body) == length + 4 and bytes(r.payload) in (b"x", b"")
+    rows = [(3, "u", "x\r\n\r\ny"), (1, "v", "x\r\n\r\ny"), (2, None, None), (5, "w", ""), (5, "w", ""), (None, "q", "x\r\n\r\ny"), (7, "é\r\nWARC-Type: response\r\nWARC-Refers-To: <urn:page:99>", "ü" * 9)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
+    warc = web_archive.read_archive(*web_archive.write_archive(df, "page_id", "url", "html"))
+    assert warc.count() == len(rows)
+    got = {}
+    for r in web_archive.parsed(warc).collect():
+        head = dict(x.split(": ", 1) for x in r.header.strip().split("\r\n")[1:])
+        if head["WARC-Type"] == "response":
+            assert hashlib.sha1(bytes(r.payload)).digest() == base64.b32decode(r.payload_digest) and int(head["Content-Length"]) == len(r.http) + len(r.payload)
+        got.setdefault(head["WARC-Record-ID"], []).append((head["WARC-Type"], head.get("WARC-Refers-To"), r.payload_bytes, head.get("WARC-Target-URI")))
+    assert got["<urn:page:1>"] == [("response", None, 6, "v")] and got["<urn:page:3>"] == [("revisit", "<urn:page:1>", 6, "u")]
+    assert got["<urn:page:5>"] == [("revisit", "<urn:page:2>", 0, "w")] * 2 and got["<urn:page:none>"] == [("revisit", "<urn:page:1>", 6, "q")]
+    assert got["<urn:page:7>"] == [("response", None, 18, "é%0D%0AWARC-Type: response%0D%0AWARC-Refers-To: <urn:page:99>")]
+    assert web_archive.read_archive(*web_archive.write_archive(df.limit(0), "page_id", "url", "html")).count() == 0
 
 
 def test_quality_counts_and_ablations(spark):
@@ -162,18 +169,25 @@ def test_longest_match_counts(spark):
         assert (got[i].n_words, got[i].n_tokens) == (len(w), sum(map(brute, w)))
 
 
-def test_shards(spark):
-    texts = ODD * 3 + [words(k, 30) for k in range(300)] + ["same"] * 300
-    rows = shards.assign(docs(spark, texts), 6).collect()
-    sizes, slots = [0] * 6, [[] for _ in range(6)]
+def test_shards(spark, tmp_path):
+    texts = ODD * 3 + [words(k, 30) for k in range(300)] + ["same"] * 300 + [words(k // 2 + 900, 20) for k in range(200)]
+    df = docs(spark, texts)
+    df = df.union(df.where("doc_id % 7 = 3"))  # repeated rows
+    rows = shards.assign(df, 6).collect()
+    sizes, slots, homes = [0] * 6, [[] for _ in range(6)], {}
     for r in rows:
         t = (texts[r.doc_id] or "").encode()
         assert r.size == len(t) + 8 and r.text_crc32 == zlib.crc32(t)
         sizes[r.shard] += r.size
         slots[r.shard].append(r.slot)
-    assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots)
+        homes.setdefault(t, set()).add(r.shard)
+    assert len(rows) == df.count() and all(sorted(s) == list(range(len(s))) for s in slots)
     assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows)
+    assert all(len(h) == 1 for h in homes.values())  # every group here is smaller than the largest record
     assert shards.assign(docs(spark, []), 6).count() == 0
+    shards.write_shards(df, str(tmp_path / "out"), 6)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(rows) and {r.shard: r.n for r in back.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {i: len(s) for i, s in enumerate(slots)}
 
 
 @pytest.mark.parametrize("group", [1, 3000, 1 << 20])
