@@ -2,15 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Vector = tuple[Column, Column, Column]
 # WGS84 semi-major axis (m) and flattening; mean Earth radius (m); the
 # terrestrial refraction coefficient.
 A, FLATTENING, EARTH_M, REFRACTION = 6378137.0, 1 / 298.257223563, 6371000.0, 0.13
 E2 = FLATTENING * (2 - FLATTENING)
 
 
+def dot(a: Vector, b: Vector) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def added(a: Vector, b: Vector) -> Vector:
+    return tuple(x + y for x, y in zip(a, b))
+
+
+def less(a: Vector, b: Vector) -> Vector:
+    return tuple(x - y for x, y in zip(a, b))
+
+
+def scaled(a: Vector, by: Column | float) -> Vector:
+    return tuple(x * by for x in a)
+
+
+def cross(a: Vector, b: Vector) -> Vector:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def norm(a: Vector) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def unit(a: Vector) -> Vector:
+    """The vector at length one; the zero vector stays as it is."""
+    n = norm(a)
+    return scaled(a, 1 / F.when(n == 0, 1.0).otherwise(n))
+
+
+def angle_between(a: Vector, b: Vector) -> Column:
+    """Degrees between unit vectors."""
+    return F.degrees(F.acos(clamp(dot(a, b), -1.0, 1.0)))
+
+
+def slerp(a: Vector, b: Vector, f: Column) -> Vector:
+    """The unit vector a share ``f`` of the way along the arc; ``a`` where the two are one."""
+    w = F.acos(clamp(dot(a, b), -1.0, 1.0))
+    s = F.when(F.sin(w) != 0, F.sin(w))
+    return tuple(F.when(w < 1e-6, x).otherwise((F.sin((1 - f) * w) * x + F.sin(f * w) * y) / s) for x, y in zip(a, b))
+
+
 def ecef(lat: Column, lon: Column, alt: Column) -> tuple[Column, Column, Column]:
     p, q = F.radians(lat), F.radians(lon)
     n = F.lit(A) / F.sqrt(1 - E2 * F.sin(p) * F.sin(p))
@@ -27,6 +70,42 @@ def enu(lat: Column, lon: Column, alt: Column, ref_lat: Column, ref_lon: Column,
     return east, north, F.cos(p) * F.cos(q) * dx + F.cos(p) * F.sin(q) * dy + F.sin(p) * dz
 
 
+def frame(lat: Column, lon: Column) -> tuple[Vector, Vector, Vector]:
+    """East, north and up at a point, as earth-centred unit vectors."""
+    p, q = F.radians(lat), F.radians(lon)
+    return (-F.sin(q), F.cos(q), F.lit(0.0)), (-F.sin(p) * F.cos(q), -F.sin(p) * F.sin(q), F.cos(p)), (F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))
+
+
+def with_geodetic(df: DataFrame, x: str, y: str, z: str, names: tuple[str, str, str] = ("lat", "lon", "alt")) -> DataFrame:
+    """Adds latitude, longitude and height of earth-centred columns: a closed first guess and
+    three steps towards the fixed point, each a projection, so that the expression stays small.
+    Right above a pole, where no parallel is left to measure along, the height is that along z."""
+    b = A * (1 - FLATTENING)
+    p, q = F.hypot(x, y), F.atan2(F.col(z) * A, F.hypot(x, y) * b)
+    df = df.withColumn("_q", q).withColumn("_p", F.atan2(F.col(z) + E2 / (1 - E2) * b * F.pow(F.sin("_q"), 3), p - E2 * A * F.pow(F.cos("_q"), 3)))
+    normal = A / F.sqrt(1 - E2 * F.sin("_p") * F.sin("_p"))
+    for _ in range(3):
+        df = df.withColumn("_p", F.atan2(F.col(z) + E2 * normal * F.sin("_p"), p))
+    height = F.when(F.abs(F.cos("_p")) > 1e-9, p / F.cos("_p") - normal).otherwise(F.abs(F.col(z)) - normal * (1 - E2))
+    found = dict(zip(names, (F.degrees("_p"), F.degrees(F.atan2(F.col(y), F.col(x))), height)))
+    return df.withColumns(found).drop("_p", "_q")
+
+
+def ecef_of_enu(east: Column, north: Column, up: Column, ref_lat: Column, ref_lon: Column, ref_alt: Column) -> Vector:
+    """Earth-centred place of a point of a local frame; ``with_geodetic`` goes on from there."""
+    o, (e, n, u) = ecef(ref_lat, ref_lon, ref_alt), frame(ref_lat, ref_lon)
+    return tuple(o[i] + e[i] * east + n[i] * north + u[i] * up for i in range(3))
+
+
+def direction_at(az: Column, el: Column, lat: Column, lon: Column, ref_lat: Column, ref_lon: Column) -> Vector:
+    """A direction measured against one place's vertical and north, in the frame of another."""
+    d, own, ref = direction(az, el), frame(lat, lon), frame(ref_lat, ref_lon)
+    g = tuple(own[0][i] * d[0] + own[1][i] * d[1] + own[2][i] * d[2] for i in range(3))
+    turned = tuple(dot(g, axis) for axis in ref)
+    same = (F.abs(lat - ref_lat) < 1e-12) & (F.abs(lon - ref_lon) < 1e-12)
+    return tuple(F.when(same | ref_lat.isNull() | lat.isNull(), a).otherwise(b) for a, b in zip(d, turned))
+
+
 def direction(az: Column, el: Column) -> tuple[Column, Column, Column]:
     a, e = F.radians(az), F.radians(el)
     return F.sin(a) * F.cos(e), F.cos(a) * F.cos(e), F.sin(e)
@@ -46,6 +125,10 @@ def lifted_elevation(east: Column, north: Column, up: Column) -> Column:
     return F.degrees(F.atan2(up + REFRACTION * d * d / (2 * EARTH_M), d))
 
 
+def az_el(d: Vector) -> tuple[Column, Column]:
+    return azimuth(d[0], d[1]), F.degrees(F.asin(clamp(d[2], -1.0, 1.0)))
+
+
 def separation(az1: Column, el1: Column, az2: Column, el2: Column) -> Column:
     a, b = direction(az1, el1), direction(az2, el2)
     return F.degrees(F.acos(clamp(a[0] * b[0] + a[1] * b[1] + a[2] * b[2], -1.0, 1.0)))

@@ -11,33 +11,38 @@ from ..functions.sky import fix_rating
 
 def with_reference(df: DataFrame, by: str, order: str) -> DataFrame:
     """Adds the first complete witness of a session as the origin of its frame, and places."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns({f"ref_{c}": F.first(c).over(w) for c in ("lat", "lon", "alt")})
+    first = df.groupBy(by).agg(F.min_by(F.struct("lat", "lon", "alt"), order).alias("_ref"))
+    df = df.join(first, by).select(*df.columns, *[F.col(f"_ref.{c}").alias(f"ref_{c}") for c in ("lat", "lon", "alt")])
     place = enu(*(F.col(c) for c in ("lat", "lon", "alt", "ref_lat", "ref_lon", "ref_alt")))
     return df.withColumns(dict(zip(("px", "py", "pz"), place)))
 
 
-def fixes(lines: DataFrame, by: str) -> DataFrame:
-    """Least-squares point of every session's lines (``px py pz`` and ``dx dy dz``).
+def nearest_points(lines: DataFrame, *by: str) -> DataFrame:
+    """Least-squares point of every group's lines (``px py pz`` and ``dx dy dz``): ``n, x, y, z,
+    rms_miss, mean_range, least_range``. Parallel lines have none.
 
     The normal equations are nine sums, a partial and a final aggregate; lines then get
-    their ranges from the solution. A session with a range that isn't ahead has no fix.
+    their ranges from the solution.
     """
     d, p = [F.col(c) for c in ("dx", "dy", "dz")], [F.col(c) for c in ("px", "py", "pz")]
     m = {(i, j): (1.0 if i == j else 0.0) - d[i] * d[j] for i in range(3) for j in range(3)}
     pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
-    sums = lines.groupBy(by).agg(
+    sums = lines.groupBy(*by).agg(
         F.count("*").alias("n"), *[F.sum(m[ij]).alias(f"m{k}") for k, ij in enumerate(pairs)],
         *[F.sum(m[i, 0] * p[0] + m[i, 1] * p[1] + m[i, 2] * p[2]).alias(f"b{i}") for i in range(3)],
     ).where("n >= 2")
     x = solve3(tuple(F.col(f"m{k}") for k in range(6)), tuple(F.col(f"b{i}") for i in range(3)))
-    solved = sums.select(by, "n", *[c.alias(n) for c, n in zip(x, ("x", "y", "z"))]).where("x is not null")
-    away = lines.join(solved, by)
+    solved = sums.select(*by, "n", *[c.alias(n) for c, n in zip(x, ("x", "y", "z"))]).where("x is not null")
+    away = lines.join(solved, list(by))
     v = [F.col(c) - q for c, q in zip(("x", "y", "z"), p)]
     t = v[0] * d[0] + v[1] * d[1] + v[2] * d[2]
     away = away.withColumn("t", t).withColumn("miss2", v[0] * v[0] + v[1] * v[1] + v[2] * v[2] - t * t)
-    found = away.groupBy(by, "n", "x", "y", "z").agg(F.sqrt(F.greatest(F.lit(0.0), F.avg("miss2"))).alias("rms_miss"), F.avg("t").alias("mean_range"), F.min("t").alias("least_range"))
-    return found.where("least_range > 0").drop("least_range")
+    return away.groupBy(*by, "n", "x", "y", "z").agg(F.sqrt(F.greatest(F.lit(0.0), F.avg("miss2"))).alias("rms_miss"), F.avg("t").alias("mean_range"), F.min("t").alias("least_range"))
+
+
+def fixes(lines: DataFrame, *by: str) -> DataFrame:
+    """The points that lie ahead of all their witnesses."""
+    return nearest_points(lines, *by).where("least_range > 0").drop("least_range")
 
 
 def pair_geometry(lines: DataFrame, by: str, order: str) -> DataFrame:

@@ -16,17 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as witnesses; their nation is the session. A sight-line aims at the session's
+    """Suppliers as witnesses, eight to a session whatever the table's size. A sight-line aims at the session's
     object, with a small error of its own."""
     s = table(spark, sf_dir, "supplier")
     return s.selectExpr(
-        "s_nationkey % 5 AS session", "s_suppkey AS witness", "42.0D + (s_suppkey % 97) * 0.0013D AS lat", "-123.0D + (s_suppkey % 89) * 0.0017D AS lon",
+        "CAST(s_suppkey DIV 8 AS INT) AS session", "s_suppkey AS witness", "42.0D + (s_suppkey % 97) * 0.0013D AS lat", "-123.0D + (s_suppkey % 89) * 0.0017D AS lon",
         "(s_suppkey % 31) * 10.0D AS alt", "(s_suppkey * 37 % 360) * 1.0D AS az", "5.0D + (s_suppkey * 13 % 70) AS el",
     )
 
 
 OBSERVERS = """observers AS (
-  SELECT s_nationkey % 5 AS session, s_suppkey AS witness, 42.0 + (s_suppkey % 97) * 0.0013 AS lat, -123.0 + (s_suppkey % 89) * 0.0017 AS lon,
+  SELECT CAST(s_suppkey // 8 AS INTEGER) AS session, s_suppkey AS witness, 42.0 + (s_suppkey % 97) * 0.0013 AS lat, -123.0 + (s_suppkey % 89) * 0.0017 AS lon,
     (s_suppkey % 31) * 10.0 AS alt, CAST(s_suppkey * 37 % 360 AS DOUBLE) AS az, 5.0 + (s_suppkey * 13 % 70) AS el FROM supplier
 )"""
 
@@ -61,7 +61,7 @@ def sightlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Witnesses in their session's frame, aimed at a point 9 km up the session's own way."""
     placed = with_reference(observers(spark, sf_dir), "session", "witness")
     aim = placed.selectExpr(
-        "*", "4000.0D + session * 150.0D - px + (witness % 7 - 3) * 2.0D AS ax", "6000.0D - session * 120.0D - py + (witness % 5 - 2) * 2.0D AS ay", "3000.0D + session * 50.0D - pz AS az_up"
+        "*", "4000.0D + (session % 5) * 150.0D - px + (witness % 7 - 3) * 2.0D AS ax", "6000.0D - (session % 5) * 120.0D - py + (witness % 5 - 2) * 2.0D AS ay", "3000.0D + (session % 5) * 50.0D - pz AS az_up"
     )
     r = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az_up") * F.col("az_up"))
     return aim.select("session", "witness", "px", "py", "pz", (F.col("ax") / r).alias("dx"), (F.col("ay") / r).alias("dy"), (F.col("az_up") / r).alias("dz"))
@@ -74,23 +74,23 @@ SIGHTLINES = f"""{OBSERVERS}, referenced AS (
 ), placed AS (
   SELECT session, witness, {_E} AS px, {_N} AS py, {_U} AS pz FROM referenced
 ), aimed AS (
-  SELECT *, 4000.0 + session * 150.0 - px + (witness % 7 - 3) * 2.0 AS ax, 6000.0 - session * 120.0 - py + (witness % 5 - 2) * 2.0 AS ay, 3000.0 + session * 50.0 - pz AS au FROM placed
+  SELECT *, 4000.0 + (session % 5) * 150.0 - px + (witness % 7 - 3) * 2.0 AS ax, 6000.0 - (session % 5) * 120.0 - py + (witness % 5 - 2) * 2.0 AS ay, 3000.0 + (session % 5) * 50.0 - pz AS au FROM placed
 ), sightlines AS (
   SELECT session, witness, px, py, pz, ax / sqrt(ax * ax + ay * ay + au * au) AS dx, ay / sqrt(ax * ax + ay * ay + au * au) AS dy, au / sqrt(ax * ax + ay * ay + au * au) AS dz FROM aimed
 )"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as aircraft over the sessions' area, spread over the sessions."""
+    """Parts as aircraft over the sessions' area, 160 to a session."""
     p = table(spark, sf_dir, "part")
     return p.selectExpr(
-        "cast(p_partkey % 5 as int) AS session", "p_partkey AS candidate", "42.0D + (p_partkey % 101) * 0.003D AS c_lat", "-123.1D + (p_partkey % 103) * 0.004D AS c_lon",
+        "CAST(p_partkey DIV 160 AS INT) AS session", "p_partkey AS candidate", "42.0D + (p_partkey % 101) * 0.003D AS c_lat", "-123.1D + (p_partkey % 103) * 0.004D AS c_lon",
         "500.0D + (p_partkey % 211) * 40.0D AS c_alt",
     )
 
 
 CANDIDATES = """candidates AS (
-  SELECT CAST(p_partkey % 5 AS INTEGER) AS session, p_partkey AS candidate, 42.0 + (p_partkey % 101) * 0.003 AS c_lat, -123.1 + (p_partkey % 103) * 0.004 AS c_lon,
+  SELECT CAST(p_partkey // 160 AS INTEGER) AS session, p_partkey AS candidate, 42.0 + (p_partkey % 101) * 0.003 AS c_lat, -123.1 + (p_partkey % 103) * 0.004 AS c_lon,
     500.0 + (p_partkey % 211) * 40.0 AS c_alt FROM part
 )"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from ..operators import sightlines as ops
+from ..operators.fixes import aspect_spans, ellipses
 from .adapters import CANDIDATES, OBSERVERS, SIGHTLINES, azimuth_sql, candidates, enu_sql, observers, sightlines, table
 
 
@@ -85,10 +86,8 @@ SQL_PAIRS = f"""WITH {SIGHTLINES}, pairs AS (
 
 def cov_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-sigma ellipse of each session's witnesses on the ground."""
-    p = ops.with_reference(observers(spark, sf_dir), "session", "witness").groupBy("session").agg(F.count("*").alias("n"), F.var_pop("px").alias("sxx"), F.var_pop("py").alias("syy"), F.covar_pop("px", "py").alias("sxy")).where("n >= 3")
-    half, diff = (F.col("sxx") + F.col("syy")) / 2, F.hypot((F.col("sxx") - F.col("syy")) / 2, F.col("sxy"))
-    bearing = F.pmod(90 - F.degrees(F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy"))) / 2, F.lit(180.0))
-    return p.select("session", "n", F.round(F.sqrt(half + diff), 3).alias("major"), F.round(F.sqrt(F.greatest(F.lit(0.0), half - diff)), 3).alias("minor"), F.round(bearing, 3).alias("bearing"))
+    placed = ops.with_reference(observers(spark, sf_dir), "session", "witness")
+    return _rounded(ellipses(placed, "session", "px", "py"), 3, "major", "minor", "bearing")
 
 
 SQL_ELLIPSE = f"""WITH {SIGHTLINES}, c AS (SELECT session, count(*) AS n, var_pop(px) AS sxx, var_pop(py) AS syy, covar_pop(px, py) AS sxy FROM placed GROUP BY session HAVING count(*) >= 3)
