@@ -12,8 +12,8 @@ some ``OVERLAP`` (13) tokens in a row, or a whole shorter item, agree in at leas
   mask ignores one position. Up to 12 two may: the positions are cut into five parts and each
   mask ignores two of them, which holds any two positions.
 
-So every overlap that verification would accept has a seed. A bitmap of the test hashes, sized
-from their number and 8 MB at most, goes to the tasks that read the training texts: positions
+So every overlap that verification would accept has a seed. A bitmap of the test hashes, 8 MB
+or for a very large benchmark up to 32 MB, goes to the tasks that read the training texts: positions
 it rules out have no partner, and nothing of them leaves the task. The rest meets the test
 hashes in shuffled joins, never a broadcast of the benchmark. Equal contexts are merged before
 the join, so a passage that many documents or items share is verified once; documents and
@@ -45,8 +45,8 @@ SPAN = 8
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 OVERLAP = 13
 SIMILARITY = 0.8
-#: The bitmap has at most 2**SLOT_BITS words of 64 bits, else one word for four hashes.
-SLOT_BITS = 20
+#: The bitmap has 2**20 words of 64 bits, up to 2**22 where there are more hashes than words.
+SLOT_BITS = (20, 22)
 #: Parts of an item of which two may hold substitutions.
 PARTS = 5
 
@@ -117,8 +117,9 @@ def _seeded(rows: DataFrame, filler: int, sizes: list[int] | None, held: np.ndar
 
 
 def _bitmap(test: DataFrame, count: int) -> np.ndarray:
-    """At most 2**SLOT_BITS words come to the driver, as Arrow, whatever the benchmark's size."""
-    words = 1 << min(SLOT_BITS, max(6, ceil(log2(max(count, 1) / 4 + 1))))
+    """At most 2**22 words come to the driver, as Arrow, whatever the benchmark's size."""
+    low, high = SLOT_BITS
+    words = 1 << min(high, max(low, ceil(log2(count + 1))))
     slot = F.shiftrightunsigned("key", 6).bitwiseAND(words - 1)
     bits = test.select(slot.alias("slot"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(words, np.int64)

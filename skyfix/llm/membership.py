@@ -1,6 +1,6 @@
 """A bitmap of hashed keys as a table of bounded size: which rows surely have no partner.
 
-The table has a row of 64 bits for about four keys, and at most 2**SLOT_BITS rows, so it can
+The table has a row of 64 bits for about each key, and at most 2**SLOT_BITS rows, so it can
 always be broadcast. Rows it rules out need no shuffle; the others go to an exact join.
 """
 
@@ -43,7 +43,7 @@ def _bit(keys: list[str]) -> Column:
 
 def bitmap(df: DataFrame, keys: list[str]) -> Known:
     """The keys of a written table; its row count gives the size."""
-    slots = 1 << min(SLOT_BITS, max(6, ceil(log2(df.count() / 4 + 1))))
+    slots = 1 << min(SLOT_BITS, max(12, ceil(log2(df.count() + 1))))
     bit = F.expr("shiftleft(1L, _bit)")
     return Known(slots, df.select(_slot(keys, slots).alias("_slot"), _bit(keys).alias("_bit")).groupBy("_slot").agg(F.bit_or(bit).alias("_bits")))
 
