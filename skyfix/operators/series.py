@@ -39,16 +39,34 @@ def asof_bracket(left: DataFrame, right: DataFrame, by: str, t: str, value: str,
 
 
 def upper_median(values: str) -> Column:
-    """The upper-middle element, as an aggregate over the group."""
-    return F.expr(f"array_sort(collect_list({values}))[cast(floor(count({values}) / 2) as int)]")
+    """The upper-middle element as an aggregate, for groups with few different values; just past
+    the half, so that of an even number the upper one is taken."""
+    return F.expr(f"percentile_disc(0.500000001D) WITHIN GROUP (ORDER BY {values})")
+
+
+def upper_medians(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """``by, name``: the upper-middle value of every group. Equal values are counted first, and a
+    window over the counts finds the place, so no task holds a group as a list."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by)
+    placed = counted.withColumn("_all", F.sum("_n").over(w)).withColumn("_until", F.sum("_n").over(w.orderBy(value)))
+    return placed.where(F.col("_until") > F.floor(F.col("_all") / 2)).groupBy(by).agg(F.min(value).alias(name))
+
+
+def with_islands(df: DataFrame, by: str, t: str, least_gap: float, times: float = 4.0) -> DataFrame:
+    """Adds ``dt`` (the step from the row before), ``gap`` (the series' longest unbroken step) and
+    ``island``."""
+    w = Window.partitionBy(by).orderBy(t)
+    steps = df.withColumn("dt", F.col(t) - F.lag(t).over(w))
+    median = upper_medians(steps, by, "dt", "_median")
+    gap = steps.join(median, by, "left").withColumn("gap", F.greatest(F.lit(least_gap), times * F.coalesce("_median", F.lit(0.0)))).drop("_median")
+    return gap.withColumn("island", F.sum(F.when(F.col("dt") > F.col("gap"), 1).otherwise(0)).over(w))
 
 
 def segments(df: DataFrame, by: str, t: str, least_gap: float, times: float = 4.0) -> DataFrame:
     """Gaps and islands: a series breaks where a step exceeds ``times`` its median step."""
     w = Window.partitionBy(by).orderBy(t)
-    steps = df.select(by, t).withColumn("dt", F.col(t) - F.lag(t).over(w))
-    gap = steps.groupBy(by).agg(F.greatest(F.lit(least_gap), times * F.coalesce(upper_median("dt"), F.lit(0.0))).alias("gap"))
-    broken = steps.join(gap, by).withColumn("island", F.sum(F.when(F.col("dt") > F.col("gap"), 1).otherwise(0)).over(w))
+    broken = with_islands(df.select(by, t), by, t, least_gap, times)
     return broken.groupBy(by, "island").agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count("*").alias("n"))
 
 
@@ -71,8 +89,9 @@ def filled(df: DataFrame, by: str, t: str, value: str) -> DataFrame:
     return rows.withColumn(value, F.coalesce(between, "_a.v", "_b.v")).drop("_a", "_b")
 
 
-def kinematics(df: DataFrame, by: str, t: str, x: str, y: str, z: str) -> DataFrame:
-    """Per series: path, duration, average and peak speed, peak acceleration and load.
+def kinematics(df: DataFrame, by: str, t: str, x: str, y: str, z: str, max_step: str | None = None) -> DataFrame:
+    """Per series: path, duration, average and peak speed, peak acceleration and load. Steps
+    longer than the column ``max_step``, which span a hole, are left out.
 
     Velocities of the segments, interior ones averaged over three; accelerations between
     neighbouring segments' mid-times; load is felt acceleration in g.
@@ -80,7 +99,8 @@ def kinematics(df: DataFrame, by: str, t: str, x: str, y: str, z: str) -> DataFr
     w = Window.partitionBy(by).orderBy(t)
     dt = F.lead(t).over(w) - F.col(t)
     seg = df.withColumn("dt", dt)
-    seg = seg.select(by, t, "dt", *[((F.lead(c).over(w) - F.col(c)) / F.when(F.col("dt") > 0, F.col("dt"))).alias(v) for c, v in ((x, "vx"), (y, "vy"), (z, "vz"))]).where("dt > 0")
+    short = F.lit(True) if max_step is None else F.col("dt") <= F.col(max_step)
+    seg = seg.select(by, t, "dt", short.alias("_short"), *[((F.lead(c).over(w) - F.col(c)) / F.when(F.col("dt") > 0, F.col("dt"))).alias(v) for c, v in ((x, "vx"), (y, "vy"), (z, "vz"))]).where("dt > 0 and _short")
     three, count = w.rowsBetween(-1, 1), F.count("*").over(w.rowsBetween(-1, 1))
     smooth = [F.when(count == 3, F.avg(v).over(three)).otherwise(F.col(v)).alias("s" + v) for v in ("vx", "vy", "vz")]
     seg = seg.select(by, (F.col(t) + F.col("dt") / 2).alias("mid"), "dt", "vx", "vy", "vz", *smooth)
@@ -98,9 +118,9 @@ def kinematics(df: DataFrame, by: str, t: str, x: str, y: str, z: str) -> DataFr
 
 def reject_outliers(df: DataFrame, by: str, value: str) -> DataFrame:
     """Rows within median + 4 MAD + 0.5; a series that would keep fewer than three keeps all."""
-    med = df.groupBy(by).agg(upper_median(value).alias("med"))
+    med = upper_medians(df, by, value, "med")
     dev = df.join(med, by).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
-    mad = dev.groupBy(by).agg(upper_median("_dev").alias("mad"))
+    mad = upper_medians(dev, by, "_dev", "mad")
     judged = dev.join(mad, by).withColumn("ok", F.col(value) <= F.col("med") + 4 * F.greatest(F.col("mad"), F.lit(1e-6)) + 0.5)
     kept = F.sum(F.col("ok").cast("int")).over(Window.partitionBy(by))
     return judged.withColumn("_n", kept).where("ok or _n < 3").drop("_dev", "_n", "ok")

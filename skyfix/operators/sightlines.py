@@ -36,8 +36,8 @@ def nearest_points(lines: DataFrame, *by: str) -> DataFrame:
     away = lines.join(solved, list(by))
     v = [F.col(c) - q for c, q in zip(("x", "y", "z"), p)]
     t = v[0] * d[0] + v[1] * d[1] + v[2] * d[2]
-    away = away.withColumn("t", t).withColumn("miss2", v[0] * v[0] + v[1] * v[1] + v[2] * v[2] - t * t)
-    return away.groupBy(*by, "n", "x", "y", "z").agg(F.sqrt(F.greatest(F.lit(0.0), F.avg("miss2"))).alias("rms_miss"), F.avg("t").alias("mean_range"), F.min("t").alias("least_range"))
+    away = away.withColumn("_t", t).withColumn("_miss2", v[0] * v[0] + v[1] * v[1] + v[2] * v[2] - t * t)
+    return away.groupBy(*by, "n", "x", "y", "z").agg(F.sqrt(F.greatest(F.lit(0.0), F.avg("_miss2"))).alias("rms_miss"), F.avg("_t").alias("mean_range"), F.min("_t").alias("least_range"))
 
 
 def fixes(lines: DataFrame, *by: str) -> DataFrame:

@@ -48,7 +48,7 @@ def airspace_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as observers of a zone of their own, a tilted square with a hole: inside or how
     far, where the sight-line enters and leaves, limits and hours."""
     c = table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey", "42.0D AS obs_lat", "-123.0D AS obs_lon", "c_custkey * 7 % 360 * 1.0D AS look_az", "42.0D + (c_custkey % 31 - 15) * 0.031D AS y", "-123.0D + (c_custkey % 37 - 18) * 0.037D AS x", "0.1D + c_custkey % 5 * 0.05D AS h", "c_custkey % 2400 AS hhmm"
+        "c_custkey", "42.0D AS obs_lat", "-123.0D AS obs_lon", "c_custkey * 7 % 360 * 1.0D AS look_az", "42.0037D + (c_custkey % 31 - 15) * 0.031D AS y", "-123.0071D + (c_custkey % 37 - 18) * 0.037D AS x", "0.1D + c_custkey % 5 * 0.05D AS h", "c_custkey % 2400 AS hhmm"
     )
     ring = "array(array(x - {0}, y - {0}), array(x + {0}, y - {0} * 0.5D), array(x + {0}, y + {0}), array(x - {0} * 0.5D, y + {0}), array(x - {0}, y - {0}))"
     rings = f"array({ring.format('h')}, {ring.format('h * 0.25D')})"
@@ -56,13 +56,13 @@ def airspace_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = f"named_struct('features', array(named_struct('attributes', {attributes}, 'geometry', named_struct('rings', {rings}))))"
     active = ex.active_hours(_COL("times"), _COL("hhmm"))
     z = ex.zones(feeds.airspace(_json(c, body, "c_custkey", "obs_lat", "obs_lon", "look_az", "hhmm")))
-    return z.select("c_custkey", "name", "type_name", "floor_ft", "ceiling_ft", "inside", F.round("dist_km", 3).alias("dist_km"), F.round("az", 2).alias("az"), "enter_km", "exit_km", F.when(active, "active").when(~active, "closed").alias("hours"))
+    return z.select("c_custkey", "name", "type_name", "floor_ft", "ceiling_ft", "inside", F.round("dist_km", 3).alias("dist_km"), F.pmod(F.round("az", 2), F.lit(360.0)).alias("az"), "enter_km", "exit_km", F.when(active, "active").when(~active, "closed").alias("hours"))
 
 
 _RING = "[[x - {0}, y - {0}], [x + {0}, y - {0} * 0.5], [x + {0}, y + {0}], [x - {0} * 0.5, y + {0}], [x - {0}, y - {0}]]"
 _CROSS = "(a[2] > {la}) <> (b[2] > {la}) AND {lo} < (b[1] - a[1]) * ({la} - a[2]) / nullif(b[2] - a[2], 0) + a[1]"
 _K = "(111.32 * cos(radians(42.0)))"
-SQL_ZONES = f"""WITH c AS (SELECT c_custkey, c_custkey * 7 % 360 AS look, 42.0 + (c_custkey % 31 - 15) * 0.031 AS y, -123.0 + (c_custkey % 37 - 18) * 0.037 AS x, 0.1 + c_custkey % 5 * 0.05 AS h, c_custkey % 2400 AS hhmm FROM customer),
+SQL_ZONES = f"""WITH c AS (SELECT c_custkey, c_custkey * 7 % 360 AS look, 42.0037 + (c_custkey % 31 - 15) * 0.031 AS y, -123.0071 + (c_custkey % 37 - 18) * 0.037 AS x, 0.1 + c_custkey % 5 * 0.05 AS h, c_custkey % 2400 AS hhmm FROM customer),
 rings AS (SELECT c_custkey, look, {_RING.format("h")} AS r FROM c UNION ALL SELECT c_custkey, look, {_RING.format("(h * 0.25)")} FROM c),
 edges AS (SELECT c_custkey, look, r[i] AS a, r[i + 1] AS b FROM rings, range(1, 5) g(i)),
 o AS (SELECT c_custkey, count(*) FILTER ({_CROSS.format(la="42.0", lo="-123.0")}) % 2 = 1 AS inside FROM edges GROUP BY c_custkey),
@@ -73,7 +73,7 @@ s AS (SELECT c_custkey, d, count(*) FILTER ({_CROSS.format(la="(42.0 + d * cos(r
 e AS (SELECT c_custkey, min(d) FILTER (inz) AS enter_km FROM s GROUP BY c_custkey),
 f AS (SELECT e.c_custkey, enter_km, coalesce(min(d) FILTER (NOT inz AND d > enter_km) - 2, CASE WHEN enter_km IS NOT NULL THEN 250.0 END) AS exit_km FROM e JOIN s ON e.c_custkey = s.c_custkey GROUP BY e.c_custkey, enter_km)
 SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'unnamed' ELSE 'Z' END AS name, ['Military Operations Area', 'Restricted Area', 'X'][c_custkey % 3 + 1] AS type_name, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE 1200.0 END AS floor_ft,
-  18000.0 AS ceiling_ft, inside, round(CASE WHEN inside THEN 0.0 ELSE sqrt(px * px + py * py) END, 3) AS dist_km, round({azimuth_sql("px", "py")}, 2) AS az, enter_km, exit_km,
+  18000.0 AS ceiling_ft, inside, round(CASE WHEN inside THEN 0.0 ELSE sqrt(px * px + py * py) END, 3) AS dist_km, round({azimuth_sql("px", "py")}, 2) % 360 AS az, enter_km, exit_km,
   CASE c_custkey % 4 WHEN 0 THEN CASE WHEN hhmm >= 2200 OR hhmm <= 600 THEN 'active' ELSE 'closed' END WHEN 1 THEN CASE WHEN hhmm BETWEEN 800 AND 1600 THEN 'active' ELSE 'closed' END END AS hours FROM c JOIN o USING (c_custkey) JOIN n USING (c_custkey) JOIN f USING (c_custkey)"""
 
 

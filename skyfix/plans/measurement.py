@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attitude, camera
 from ..functions import geodesy as g
-from ..operators import fixes
+from ..operators import fixes, tracks
 from .adapters import OBSERVERS, azimuth_sql, ecef_sql, enu_sql, observers, table
 
 _COL = F.col
@@ -102,8 +102,8 @@ def _solved_ctes(lines: str, name: str) -> str:
     return f"""{name}_s AS (SELECT session, count(*) AS n, {sums}, sum((1 - dx * dx) * px - dx * dy * py - dx * dz * pz) AS bx,
     sum(-dx * dy * px + (1 - dy * dy) * py - dy * dz * pz) AS by_, sum(-dx * dz * px - dy * dz * py + (1 - dz * dz) * pz) AS bz FROM {lines} GROUP BY session HAVING count(*) >= 2),
   {name}_x AS (SELECT session, n, {det(swap(0))} / {det(m)} AS x, {det(swap(1))} / {det(m)} AS y, {det(swap(2))} / {det(m)} AS z FROM {name}_s),
-  {name}_r AS (SELECT *, (x - px) * dx + (y - py) * dy + (z - pz) * dz AS t, pow(x - px, 2) + pow(y - py, 2) + pow(z - pz, 2) AS v FROM {lines} JOIN {name}_x USING (session)),
-  {name} AS (SELECT session, n, x, y, z, sqrt(greatest(0.0, avg(v - t * t))) AS rms_miss, avg(t) AS mean_range, min(t) AS least FROM {name}_r GROUP BY ALL)"""
+  {name}_r AS (SELECT *, (x - px) * dx + (y - py) * dy + (z - pz) * dz AS rng, pow(x - px, 2) + pow(y - py, 2) + pow(z - pz, 2) AS v FROM {lines} JOIN {name}_x USING (session)),
+  {name} AS (SELECT session, n, x, y, z, sqrt(greatest(0.0, avg(v - rng * rng))) AS rms_miss, avg(rng) AS mean_range, min(rng) AS least FROM {name}_r GROUP BY ALL)"""
 
 
 _A1, _L1 = _seen_sql("42.07", "-122.93", "2500.0")
@@ -122,7 +122,7 @@ l2 AS (SELECT l1.* EXCLUDE (dx, dy, dz), {_turned_sql("az", _BENT)} FROM l1 JOIN
 lb AS (SELECT l0.* EXCLUDE (dx, dy, dz), {_turned_sql("az_b", "el_b")} FROM l0), {_solved_ctes("lb", "sb")},
 pairs AS (SELECT a.session, max(sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2))) AS baseline,
   min(degrees(acos(least(1.0, a.dx * b.dx + a.dy * b.dy + a.dz * b.dz)))) AS conv FROM l0 a JOIN l0 b ON a.session = b.session AND a.witness < b.witness GROUP BY a.session),
-sizes AS (SELECT session, avg(2 * t * tan(radians(ang) / 2)) AS size_m FROM s2_r WHERE t > 0 GROUP BY session),
+sizes AS (SELECT session, avg(2 * rng * tan(radians(ang) / 2)) AS size_m FROM s2_r WHERE rng > 0 GROUP BY session),
 times AS (SELECT session, avg(t_b - t_a) AS dt FROM l0 GROUP BY session), refs AS (SELECT DISTINCT session, rlat, rlon, ralt FROM l0),
 f AS (SELECT session, s2.n, s2.x AS fx, s2.y AS fy, s2.z AS fz, s2.rms_miss, s2.mean_range, s2.least, sb.x - s2.x AS mx, sb.y - s2.y AS my, sb.z - s2.z AS mz, baseline, conv, size_m, dt, rlat, rlon, ralt
   FROM s2 JOIN pairs USING (session) JOIN sizes USING (session) JOIN times USING (session) JOIN refs USING (session) JOIN sb USING (session)),
@@ -228,5 +228,63 @@ _FY = "-(sin(radians(alpha)) * sin(radians(gamma)) - cos(radians(alpha)) * sin(r
 SQL_HANDHELD = f"""WITH o AS (SELECT o_orderkey, o_custkey % 360 AS alpha, 20.0 + o_orderkey % 120 AS beta, o_orderkey % 61 - 30.0 AS gamma FROM orders)
 SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS INTEGER) AS way, round({azimuth_sql(_FX, _FY)}, 3) + 0.0 AS az, round(degrees(asin(-cos(radians(beta)) * cos(radians(gamma)))), 3) + 0.0 AS el, true AS agree FROM o"""
 
-QUERIES = {f.__name__: f for f in (geo_roundtrip, los_fix_full, bearing_arbitration, camera_pixels, attitude_blend, handheld_pose)}
-SQL = {"geo_roundtrip": SQL_ROUNDTRIP, "los_fix_full": SQL_FULL, "bearing_arbitration": SQL_ARBITRATION, "camera_pixels": SQL_PIXELS, "attitude_blend": SQL_BLEND, "handheld_pose": SQL_HANDHELD}
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three witnesses of every session follow one object for 40 s; one loses it for a while."""
+    o = observers(spark, sf_dir).where("witness % 8 < 3")
+    placed = fixes.placed(o.withColumn("el", F.lit(1.0))).select("session", "witness", "px", "py", "pz", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("i"))
+    t = (_COL("i") + (_COL("witness") % 8) * 0.25).alias("t")
+    rows = placed.where("not (witness % 8 = 1 and i between 15 and 22)").select("session", "witness", "px", "py", "pz", t)
+    aim = (3000 + _COL("t") * 40 - _COL("px"), 6000 - _COL("t") * _COL("t") - _COL("py"), 2000 + (_COL("witness") % 8) * 1.5 - _COL("pz"))
+    return rows.withColumns(dict(zip(("dx", "dy", "dz"), g.unit(aim))))
+
+
+def stereo_kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's path from three tracks, over the times that all of them saw."""
+    k = tracks.stereo_tracks(_samples(spark, sf_dir))
+    return k.select("session", "n", F.round("miss", 3).alias("miss"), F.round("path", 1).alias("path"), F.round("dur", 3).alias("dur"), F.round(_COL("path") / _COL("dur"), 2).alias("speed"))
+
+
+_SP = enu_sql("lat", "lon", "alt", "rlat", "rlon", "ralt")
+SQL_STEREO = f"""WITH {OBSERVERS}, w AS (SELECT *, first_value(lat) OVER f AS rlat, first_value(lon) OVER f AS rlon, first_value(alt) OVER f AS ralt FROM observers WHERE witness % 8 < 3 WINDOW f AS (PARTITION BY session ORDER BY witness)),
+pl AS (SELECT session, witness, {_SP[0]} AS px, {_SP[1]} AS py, {_SP[2]} AS pz FROM w),
+a AS (SELECT session, witness, px, py, pz, i + (witness % 8) * 0.25 AS t FROM pl, range(0, 41) g(i) WHERE NOT (witness % 8 = 1 AND i BETWEEN 15 AND 22)),
+b AS (SELECT *, 3000 + t * 40 - px AS ax, 6000 - t * t - py AS ay, 2000 + (witness % 8) * 1.5 - pz AS az FROM a),
+s AS (SELECT session, witness, CAST(t AS DOUBLE) AS t, px, py, pz, ax / sqrt(ax * ax + ay * ay + az * az) AS dx, ay / sqrt(ax * ax + ay * ay + az * az) AS dy, az / sqrt(ax * ax + ay * ay + az * az) AS dz FROM b),
+q AS (SELECT x.session, x.t, y.witness FROM (SELECT DISTINCT session, t FROM s) x JOIN pl y USING (session)),
+lo AS (SELECT q.*, s.t AS t1, px, py, pz, dx AS x1, dy AS y1, dz AS z1 FROM q ASOF JOIN s ON q.session = s.session AND q.witness = s.witness AND q.t >= s.t),
+hi AS (SELECT lo.*, s.t AS t2, s.dx AS x2, s.dy AS y2, s.dz AS z2 FROM lo ASOF JOIN s ON lo.session = s.session AND lo.witness = s.witness AND lo.t <= s.t),
+m AS (SELECT *, CASE WHEN t2 > t1 THEN (t - t1) / (t2 - t1) ELSE 0 END AS f FROM hi WHERE t2 - t1 <= 4),
+r AS (SELECT *, x1 + (x2 - x1) * f AS ux, y1 + (y2 - y1) * f AS uy, z1 + (z2 - z1) * f AS uz, count(*) OVER (PARTITION BY session, t) AS seen FROM m),
+l AS (SELECT CAST(session * 100000 + round(t * 100) AS BIGINT) AS session, session AS own, t, px, py, pz, ux / sqrt(ux * ux + uy * uy + uz * uz) AS dx, uy / sqrt(ux * ux + uy * uy + uz * uz) AS dy, uz / sqrt(ux * ux + uy * uy + uz * uz) AS dz FROM r WHERE seen = 3),
+{_solved_ctes("l", "f")}, k AS (SELECT DISTINCT session, own, t FROM l),
+pos AS (SELECT own, t, x, y, z, rms_miss, lead(t) OVER v AS nt, lead(x) OVER v AS nx, lead(y) OVER v AS ny, lead(z) OVER v AS nz FROM f JOIN k USING (session) WHERE least > 0 WINDOW v AS (PARTITION BY own ORDER BY t)),
+c AS (SELECT own, count(*) AS n, avg(rms_miss) AS miss FROM pos GROUP BY own)
+SELECT own AS session, n, round(miss, 3) AS miss, round(sum(sqrt(pow(nx - x, 2) + pow(ny - y, 2) + pow(nz - z, 2))), 1) AS path, round(sum(nt - t), 3) AS dur,
+  round(sum(sqrt(pow(nx - x, 2) + pow(ny - y, 2) + pow(nz - z, 2))) / sum(nt - t), 2) AS speed FROM pos JOIN c USING (own) WHERE nt - t <= 1.6 GROUP BY own, n, miss"""
+
+
+def clock_sync_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two witnesses of every session, the second's clock seven seconds behind: the offset that
+    brings their rays together, to the second."""
+    s = _samples(spark, sf_dir).where("witness % 8 <> 1")
+    late = s.withColumn("t", F.when(_COL("witness") % 8 == 2, _COL("t") - 7).otherwise(_COL("t")))
+    return tracks.clock_offsets(late, 15.0).select("session", F.round("offset").alias("offset"), "adopted")
+
+
+SQL_SYNC_RAYS = f"""WITH {OBSERVERS} SELECT session, 7.0 AS offset, true AS adopted FROM observers WHERE witness % 8 IN (0, 2) GROUP BY session HAVING count(*) = 2"""
+
+
+def solo_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One witness's track with sizes: an object that only comes nearer has a known range ratio."""
+    p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS series", "explode(sequence(0, 8)) AS i").selectExpr(
+        "series", "CAST(i AS DOUBLE) AS t", "100.0D AS az", "20.0D AS el", "1000.0D - i * (series % 50) AS r", "if(i % 3 = 1, null, 1.0D) AS has"
+    )
+    p = p.withColumn("ang", F.when(_COL("has").isNotNull(), 2 * F.degrees(F.atan(5.0 / _COL("r"))))).withColumn("proj", F.lit(1.0))
+    k = tracks.solo_tracks(p.select("series", "t", "az", "el", "ang", "proj"), "series")
+    return k.select("series", F.round("range_ratio", 6).alias("range_ratio"), "n_sized", F.round("path", 6).alias("path"), F.round("peak_speed", 6).alias("peak_speed"))
+
+
+SQL_SOLO = """SELECT s_suppkey AS series, round(1.0 / (1 - 8 * (s_suppkey % 50) / 1000.0), 6) AS range_ratio, 6 AS n_sized, round(8 * (s_suppkey % 50) / 1000.0, 6) AS path, round((s_suppkey % 50) / 1000.0, 6) AS peak_speed FROM supplier"""
+
+QUERIES = {f.__name__: f for f in (stereo_kinematics, clock_sync_rays, solo_range, geo_roundtrip, los_fix_full, bearing_arbitration, camera_pixels, attitude_blend, handheld_pose)}
+SQL = {"stereo_kinematics": SQL_STEREO, "clock_sync_rays": SQL_SYNC_RAYS, "solo_range": SQL_SOLO, "geo_roundtrip": SQL_ROUNDTRIP, "los_fix_full": SQL_FULL, "bearing_arbitration": SQL_ARBITRATION, "camera_pixels": SQL_PIXELS, "attitude_blend": SQL_BLEND, "handheld_pose": SQL_HANDHELD}
