@@ -26,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set (tests)."""
+    """The cluster's checkpoint folder; one of our own only where none is set and all executors
+    are this process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("skyfix.scratch.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-skyfix-")
             spark.conf.set("skyfix.scratch.dir", base)
     return base.rstrip("/")
