@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sky
 from ..functions.geodesy import haversine, wrapped
 from ..operators import folds
+from ..operators.flightlog import graded
 from ..sources.reports import scraped
 from .adapters import CANDIDATES, OBSERVERS, TRACK, candidates, observers, table, track, wrapped_sql
 
@@ -148,14 +149,10 @@ SELECT o_orderkey, launch, CAST(alt_m AS DOUBLE) AS alt_m, round(1.5 + 6 * alt_m
 def grade_worst_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades of position, size and direction errors; missing ones don't count, the worst does."""
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "case when o_orderkey % 5 <> 0 then o_totalprice % 30 end AS pos", "case when o_orderkey % 3 <> 0 then o_totalprice % 3 + 0.5 end AS ratio", "case when o_orderkey % 7 <> 0 then o_totalprice % 9 end AS dir")
-    level = lambda v, *cuts: F.when(v <= cuts[0], 0).when(v <= cuts[1], 1).when(v <= cuts[2], 2).when(v.isNotNull(), 3)
-    stretch = F.greatest(F.col("ratio"), 1 / F.col("ratio"))
-    worst = F.greatest(level(F.col("pos"), 3, 8, 18), level(stretch, 1.25, 1.6, 2.5), level(F.col("dir"), 1.0, 2.5, 6.0))
-    grade = F.element_at(F.array(*map(F.lit, ("excellent", "good", "fair", "poor"))), F.coalesce(worst, F.lit(0)) + 1)
-    return o.select("o_orderkey", F.when(worst.isNotNull(), grade).alias("grade"))
+    return o.select("o_orderkey", graded(F.col("pos"), F.col("ratio"), F.col("dir")).alias("grade"))
 
 
-_LEVEL = lambda v, a, b, c: f"CASE WHEN {v} <= {a} THEN 0 WHEN {v} <= {b} THEN 1 WHEN {v} <= {c} THEN 2 WHEN {v} IS NOT NULL THEN 3 END"
+_LEVEL = lambda v, a, b, c: f"CASE WHEN {v} < {a} THEN 0 WHEN {v} < {b} THEN 1 WHEN {v} < {c} THEN 2 WHEN {v} IS NOT NULL THEN 3 END"
 SQL_GRADE = f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice % 30 END AS pos, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice % 3 + 0.5 END AS ratio, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice % 9 END AS dir FROM orders)
 SELECT o_orderkey, ['excellent', 'good', 'fair', 'poor'][greatest({_LEVEL("pos", 3, 8, 18)}, {_LEVEL("greatest(ratio, 1 / ratio)", 1.25, 1.6, 2.5)}, {_LEVEL("dir", 1.0, 2.5, 6.0)}) + 1] AS grade FROM o"""
 

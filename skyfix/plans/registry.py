@@ -1,7 +1,7 @@
 """Every query of the library beside those of ``llm``, with the SQL that must agree with it."""
 
-from . import astronomy, catalogue, feeds, measurement, series, sighting, sweep, terrain
+from . import astronomy, calibration, catalogue, feeds, measurement, series, sighting, sweep, terrain
 
-QUERIES = {**sighting.QUERIES, **measurement.QUERIES, **feeds.QUERIES, **series.QUERIES, **catalogue.QUERIES, **astronomy.QUERIES, **terrain.QUERIES, **sweep.QUERIES}
-SQL = {**sighting.SQL, **measurement.SQL, **feeds.SQL, **series.SQL, **catalogue.SQL, **astronomy.SQL, **terrain.SQL, **sweep.SQL}
+QUERIES = {**sighting.QUERIES, **measurement.QUERIES, **calibration.QUERIES, **feeds.QUERIES, **series.QUERIES, **catalogue.QUERIES, **astronomy.QUERIES, **terrain.QUERIES, **sweep.QUERIES}
+SQL = {**sighting.SQL, **measurement.SQL, **calibration.SQL, **feeds.SQL, **series.SQL, **catalogue.SQL, **astronomy.SQL, **terrain.SQL, **sweep.SQL}
 FLAGSHIP = "los_fix_triangulate"
