@@ -53,8 +53,8 @@ def with_pixel(df: DataFrame, d: Vector, width: Column, height: Column, pose: Po
     k = k if isinstance(k, Column) else F.lit(float(k))
     df = df.withColumns({"_x": dot(d, r) / ahead, "_y": dot(d, u) / ahead, "_k": k}).withColumn("_d", F.hypot("_x", "_y")).withColumn("_rho", F.col("_d"))
     rho, kk = F.col("_rho"), F.col("_k")
-    for _ in range(10):
-        df = df.withColumn("_rho", F.when(kk != 0, rho - (rho * (1 + kk * rho * rho) - F.col("_d")) / (1 + 3 * kk * rho * rho)).otherwise(rho))
+    for _ in range(10):  # rho - (rho + k rho^3 - d) / (1 + 3 k rho^2)
+        df = df.withColumn("_rho", (2 * kk * F.pow(rho, 3) + F.col("_d")) / (1 + 3 * kk * F.pow(rho, 2)))
     s = F.when(F.col("_d") > 1e-9, rho / F.col("_d")).otherwise(1.0) * focal_pixels(width, fov)
     return df.withColumns({names[0]: width / 2 + F.col("_x") * s, names[1]: height / 2 - F.col("_y") * s}).drop("_x", "_y", "_k", "_d", "_rho")
 
@@ -83,13 +83,16 @@ def carried_az_el(az: Column, el: Column, old: Pose, new: Pose) -> tuple[Column,
     return az_el(carried(direction(az, el), old, new))
 
 
-def carried_pose(pose: Pose, old: Pose, new: Pose) -> Pose:
-    """A whole pose rotated along; its roll is read against the level frame where it arrives."""
+def with_carried_pose(df: DataFrame, pose: Pose, old: Pose, new: Pose, names: tuple[str, str, str] = ("az", "el", "roll")) -> DataFrame:
+    """Adds a whole pose rotated along; its roll is read against the level frame where it arrives.
+    Each step is a projection, so that no expression holds another many times over."""
     f, r, _ = basis(*pose)
-    az, el = az_el(carried(f, old, new))
-    _, level, rise = basis(az, el, F.lit(0.0))
-    turned = carried(r, old, new)
-    return az, el, F.degrees(F.atan2(dot(turned, rise), dot(turned, level)))
+    df = df.withColumns({f"_{n}{i}": v for n, d in (("f", f), ("r", r)) for i, v in enumerate(carried(d, old, new))})
+    ahead, turned = (tuple(F.col(f"_{n}{i}") for i in range(3)) for n in "fr")
+    df = df.withColumns(dict(zip(("_az", "_el"), az_el(ahead))))
+    _, level, rise = basis(F.col("_az"), F.col("_el"), F.lit(0.0))
+    roll = F.degrees(F.atan2(dot(turned, rise), dot(turned, level)))
+    return df.withColumns(dict(zip(names, (F.col("_az"), F.col("_el"), roll)))).drop("_az", "_el", *[f"_{n}{i}" for n in "fr" for i in range(3)])
 
 
 def angular_size(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, fov: Column, k: Column | float = 0.0) -> Column:
