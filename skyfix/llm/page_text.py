@@ -2,7 +2,10 @@
 
 A page becomes the sequence of its leaf blocks: text between block-level tags, with the
 path of open block elements (tags, classes, ids). Each block is a vector of the hashed path,
-hashed words and a few measures (length, share of link text, punctuation). A bidirectional
+hashed words and a few measures (length, share of link text, punctuation). Containers that say
+nothing (``div`` and ``section`` without a name, say) leave no trace in the path: of the others it
+holds which names occur, and the innermost ones by their distance from the text. So it matters
+neither how deep a text lies nor how often a name recurs. A bidirectional
 LSTM in NumPy reads the whole sequence, so each block is labelled with everything before
 and after it in view. Blocks labelled as article are the text. Weights come from
 ``training/train_page_text.py`` (bounded, generated pages) and travel with the job.
@@ -34,8 +37,14 @@ from .shared import columns
 
 WEIGHTS = Path(__file__).parent / "models" / "page_text.npz"
 #: Sizes of the hashed path and word vectors, the measures, and each direction's state.
-PATH_SIZE, WORD_SIZE, MEASURES, STATE = 64, 16, 8, 16
+NAME_SIZE, NEAR_SIZE, WORD_SIZE, MEASURES, STATE = 128, 64, 16, 8, 16
+PATH_SIZE = NAME_SIZE + NEAR_SIZE
 INPUT = PATH_SIZE + WORD_SIZE + MEASURES
+#: Elements that say nothing by their tag, and how many others count by their distance.
+PLAIN = set("html body div section span center table tbody tr".split())
+NEAREST = 3
+#: After so many tags without an end (each is read to the end of the page) tags end at ``>``.
+ENDLESS_TAGS = 32
 #: Pages labelled together, by padded blocks; a longer page is read in stretches of so many.
 GROUP_BLOCKS = 40_000
 
@@ -45,6 +54,8 @@ RAW = set("script style title textarea iframe".split())
 TO_END = set("script style title textarea".split())
 #: Elements never shown as text, from a start tag to its own end tag.
 HIDDEN = set("template select datalist desc metadata annotation annotation-xml".split())
+#: Those of them that are hidden only inside a drawing or a formula.
+HIDDEN_INSIDE = {"desc": "svg", "metadata": "svg", "annotation": "math", "annotation-xml": "math"}
 #: Elements inside a line of text, drawings and formulas among them.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr meta link base source".split())
 INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
@@ -60,7 +71,7 @@ TAG = re.compile(
     r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\t\n\f\r />]*+)"
     rf"(?P<attributes>(?:[\t\n\f\r /]++|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{SPACE}*+={SPACE}*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\t\n\f\r >]++)?+)?+)*+)>"
 )
-#: A tag that just ends at the next ``>``, once some tag of the page has no end.
+#: A tag that just ends at the next ``>``, where it has no other end.
 BARE_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\t\n\f\r />]*+)(?P<attributes>[^>]*+)>")
 MARKUP = re.compile(r"<(?:/?[a-zA-Z]|[!?]|/[^a-zA-Z])")
 COMMENT_END = re.compile(r"--!?>")
@@ -81,12 +92,13 @@ def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
 
     Comments, raw elements and hidden ones are one token without a tag. A hidden element ends
     at its own end tag; where that is missing, only the start tag is left out. Each character
-    is read a bounded number of times: after the first tag without an end, tags end at ``>``.
+    is read a bounded number of times: after ``ENDLESS_TAGS`` tags without an end all end at ``>``.
     """
     found: list[tuple[int, int, str, str, str]] = []
+    failed, inside = 0, Counter()
     opened: dict[str, list[int]] = {t: [] for t in HIDDEN}
     endless: set[str] = set()
-    pattern, at = TAG, 0
+    at = 0
     while mark := MARKUP.search(page, at):
         start = mark.start()
         if not page[start + 1].isalpha() and not (page[start + 1] == "/" and page[start + 2].isalpha()):
@@ -98,10 +110,10 @@ def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
                 at = page.find(">", start) + 1 or len(page)
             found.append((start, at, "", "", ""))
             continue
-        m = pattern.match(page, start)
-        if not m and pattern is TAG:
-            pattern = BARE_TAG
-            m = pattern.match(page, start)
+        m = TAG.match(page, start) if failed < ENDLESS_TAGS else None
+        if not m:
+            failed += 1
+            m = BARE_TAG.match(page, start)
         if not m:
             break  # no tag ends any more: the rest is text
         at = m.end()
@@ -109,7 +121,7 @@ def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
         if tag in RAW:
             end = None if m["close"] or tag in endless else RAW_END[tag].search(page, at)
             if end:
-                close = pattern.match(page, end.start())
+                close = (TAG.match(page, end.start()) if failed < ENDLESS_TAGS else None) or BARE_TAG.match(page, end.start())
                 at = close.end() if close else len(page)
             elif not m["close"]:
                 endless.add(tag)
@@ -118,7 +130,9 @@ def tokens(page: str) -> list[tuple[int, int, str, str, str]]:
             found.append((start, at, "", "", tag))
             continue
         found.append((start, at, m["close"], tag, m["attributes"]))
-        if tag in HIDDEN:
+        if tag in ("svg", "math"):
+            inside[tag] = max(0, inside[tag] - 1) if m["close"] else inside[tag] + (not m["attributes"].endswith("/"))
+        if tag in HIDDEN and (tag not in HIDDEN_INSIDE or inside[HIDDEN_INSIDE[tag]]):
             if not m["close"]:
                 opened[tag].append(len(found) - 1)
             elif opened[tag]:
@@ -146,7 +160,7 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
 
     def close() -> None:
         nonlocal linked
-        words = " ".join(html.unescape("".join(text)).split())
+        words = " ".join("".join(text).split())
         if words and not depth["head"] and not depth["option"]:
             ends = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
             out.append((" ".join(n for _, n in ends), words, min(1.0, linked / len(words))))
@@ -165,7 +179,7 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             # Text ends a head whose end tag is left out, as do all elements but those of a head.
             if stack and stack[-1][0] == "head" and not page[at:start].isspace():
                 leave("head")
-            text.append(page[at:start])
+            text.append(html.unescape(page[at:start]))
             linked += (start - at) * (in_link > 0)
         at = end
         if not closes and (tag or attributes) and depth["head"] and (tag or attributes) not in OF_HEAD:
@@ -190,21 +204,26 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             depth[tag] += 1
     if stack and stack[-1][0] == "head" and page[at:].strip():
         leave("head")
-    text.append(page[at:])
+    text.append(html.unescape(page[at:]))
     close()
     return out
 
 
 def path_vector(path: str) -> np.ndarray:
-    """Hashed names of the path; the innermost element counts once more in its own place."""
+    """Which names occur in the path (hashed), and the tags of its innermost telling elements."""
     v = np.zeros(PATH_SIZE, np.float32)
-    names = path.split()
-    for name in names:
-        v[crc32(name.encode()) % PATH_SIZE] += 1.0
-    inner = [n for n in names if not n.startswith(".")]
-    if inner:
-        v[crc32(("^" + inner[-1]).encode()) % PATH_SIZE] += 1.0
-    return np.minimum(v, 2.0)
+    elements: list[list[str]] = []
+    for name in path.split():
+        if name.startswith(".") and elements:
+            elements[-1].append(name)
+        else:
+            elements.append([name])
+    telling = [e for e in elements if len(e) > 1 or e[0] not in PLAIN]
+    for name in {n for e in telling for n in e if n not in PLAIN}:
+        v[crc32(name.encode()) % NAME_SIZE] = 1.0
+    for k, e in enumerate(reversed(telling[-NEAREST:])):
+        v[NAME_SIZE + crc32(f"{k}{e[0]}".encode()) % NEAR_SIZE] = 1.0
+    return v
 
 
 def features(found: list[tuple[str, str, float]], paths: dict[str, np.ndarray], first: int = 0, total: int = 0) -> np.ndarray:

@@ -12,7 +12,7 @@ import numpy as np
 
 from ..page_text import INPUT, STATE, WEIGHTS, blocks, features, reversed_rows, scores
 
-PAGES, EPOCHS, BATCH, RATE = 6000, 8, 48, 0.004
+PAGES, EPOCHS, BATCH, RATE = 8000, 8, 48, 0.004
 MARK = "⁠"  # word joiner in front of each article block of a generated page
 
 
@@ -20,6 +20,11 @@ MARK = "⁠"  # word joiner in front of each article block of a generated page
 STYLES = (" |", "|", "%%%", "###", "!!", "$$$", " -", ".", "&amp;&amp;")
 
 
+#: Names of containers of an article, and of any container.
+OWN = ["content", "article", "post", "entry-content", "article-body", "story", "text", "body-text", "main-content"]
+ANY = ["wrap", "wrapper", "container", "row", "col", "col-md-8", "inner", "page", "layout", "grid", "box", "block", "outer", "site", "root", "app", "clearfix", "left", "center"]
+
+
 def words(r: random.Random, n: int) -> str:
     made = ["".join(r.choice(["th", "an", "er", "in", "ou", "ti", "sch", "eau", "ción", "ge", "mo", "ra", "é", "ü", "st", "ly", "a"]) for _ in range(r.choice([1, 1, 2, 2, 3, 4]))) + r.choice(["", "", "", "", ",", "***", ""]) for _ in range(n)]
     tail = r.choice(STYLES) if n > 1 and r.random() < 0.3 else ""
@@ -71,15 +76,30 @@ def page(r: random.Random) -> str:
             if r.random() < 0.06:
                 body.append(r.choice([advert, aside, notice])())
         text = "".join(body)
-        return r.choice([f"<article>{text}</article>"] * 4 + [f"<main>{text}</main>", f"<main><article>{text}</article></main>", f'<div class="{cls(["content", "article", "post", "entry-content", "article-body", "story"])}">{text}</div>', f'<div id="content"><div class="post">{text}</div></div>', f"<div>{text}</div>", text])
+        tag = r.choice(["article", "section", "div", "main", ""])
+        if not tag:
+            return text
+        return wrapped(f"<{tag}{name(OWN)}>{text}</{tag}>", r.choice([0, 0, 1, 2, 3, 6, 12]))
+
+    def name(known: list[str]) -> str:
+        """No name, a known one, one that any container may have, or one that says nothing."""
+        chosen = r.choice(["", "", r.choice(known), r.choice(ANY), words(r, 1).lower().strip(",*. |-#%!$"), f"{r.choice(ANY)} {words(r, 1).lower()}"])
+        return f' {r.choice(["class", "class", "id"])}="{chosen}"' if chosen else ""
+
+    def wrapped(inner: str, depth: int) -> str:
+        for _ in range(r.randint(0, depth)):
+            tag = r.choice(["div", "div", "div", "section", "main"])
+            inner = f"<{tag}{r.choice(['', name(ANY)])}>{inner}</{tag}>"
+        return inner
 
     top = [x() for x in r.sample([menu, header, notice, advert, form, aside], r.randint(0, 4))]
     rest = [x() for x in r.sample([aside, comments, advert, notice, form, menu], r.randint(0, 4))] + ([footer()] if r.random() < 0.85 else [])
     kind = r.random()
     if kind < 0.25:  # a common plain layout
         top, rest = [menu(), "<!-- ad -->", advert()], [footer()]
+    top, rest = [wrapped(x, r.choice([0, 0, 0, 1, 3])) for x in top], [wrapped(x, r.choice([0, 0, 0, 1, 3])) for x in rest]
     head = f"<head><title>{words(r, 4)}</title><style>p{{}}</style><script>var t=\"</p>\";</script></head>" if r.random() < 0.9 else ""
-    return f"<!DOCTYPE html><html>{head}<body>{''.join(top)}{article()}{''.join(rest)}</body></html>"
+    return f"<!DOCTYPE html><html>{head}<body>{wrapped(''.join(top) + article() + ''.join(rest), r.choice([0, 0, 1, 4]))}</body></html>"
 
 
 def labelled(r: random.Random) -> tuple[np.ndarray, np.ndarray]:

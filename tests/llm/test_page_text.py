@@ -4,6 +4,7 @@ import html
 import random
 import re
 import time
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -86,3 +87,34 @@ def test_odd_rows(spark):
     got = page_text.extract(df).collect()
     assert len(got) == 4 and sorted(len(r.text) for r in got)[:2] == [0, 0] and max(r.text.count("\n") for r in got) == 2999
     assert page_text.extract(df.limit(0)).count() == 0
+
+
+LAYOUTS = {tag or "none": lambda inner, t=tag: f"<{t}>{inner}</{t}>" if t else inner for tag in ("article", "section", "div", "main", "")}
+LAYOUTS |= {f"{n} wrappers": lambda inner, n=n: "<div>" * n + f"<article>{inner}</article>" + "</div>" * n for n in (1, 3, 6, 12)}
+LAYOUTS |= {f"{n} sections in div": lambda inner, n=n: '<div class="container">' + "<section>" * n + inner + "</section>" * n + "</div>" for n in (1, 12)}
+LAYOUTS |= {"named": lambda inner: f'<div class="row"><div id="zq9">{inner}</div></div>'}
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_article_is_found_in_any_container(layout):
+    """The article of every given page of sf0.01, put into other elements, by blocks."""
+    w = page_text.load_weights()
+    right = kept = there = 0
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        before, inner, after = re.fullmatch(r"(.*)<article>(.*)</article>(.*)", page, re.S).groups()
+        truth = [t for _, t, _ in page_text.blocks(inner)]
+        found = page_text.blocks(before + LAYOUTS[layout](inner) + after)
+        z = page_text.scores([page_text.features(found, {})], w)[0]
+        got = [t for (_, t, _), s in zip(found, z) if s > 0]
+        right += len(truth) - sum((Counter(truth) - Counter(got)).values())
+        kept, there = kept + len(got), there + len(truth)
+    print(layout, "recall", right / there, "precision", right / kept)
+    assert right >= 0.98 * there and right >= 0.98 * kept
+
+
+def test_references_and_hidden_elements():
+    texts = lambda page: [text for _, text, _ in page_text.blocks(page)]
+    assert texts("<p>&<b>lt;</b> R&<b>reg</b>ion a&amp;lt; &<!-- -->amp;</p>") == ["&lt; R&region a&lt; &amp;"]
+    assert texts("<p>x <desc>title para</desc> y</p><p><metadata>m</metadata></p>") == ["x title para y", "m"]
+    assert texts("<p>a <svg><desc>no</desc><text>b</text></svg> <math><mi>c</mi><annotation>no</annotation></math></p><desc>d</desc>") == ["a b c", "d"]
+    assert texts('<p>One</p><a "<p title="a>b">Two</p><p title="c>d">Three</p>')[-1] == "Three"
