@@ -12,6 +12,9 @@ some ``OVERLAP`` (13) tokens in a row, or a whole shorter item, agree in at leas
   mask ignores one position. Up to 12 two may: the positions are cut into five parts and each
   mask ignores two of them, which holds any two positions.
 
+Items of fewer than ``LEAST_TOKENS`` tokens say too little to convict a document (the item "the"
+would convict all); they match nothing, and ``short_items`` lists them.
+
 So every overlap that verification would accept has a seed. A bitmap of the test hashes, 8 MB
 or for a very large benchmark up to 32 MB, goes to the tasks that read the training texts: positions
 it rules out have no partner, and nothing of them leaves the task. The rest meets the test
@@ -45,6 +48,8 @@ SPAN = 8
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 OVERLAP = 13
 SIMILARITY = 0.8
+#: Tokens that an item must have to be looked for.
+LEAST_TOKENS = 5
 #: The bitmap has 2**20 words of 64 bits, up to 2**22 where there are more hashes than words.
 SLOT_BITS = (20, 22)
 #: Parts of an item of which two may hold substitutions.
@@ -116,6 +121,19 @@ def _seeded(rows: DataFrame, filler: int, sizes: list[int] | None, held: np.ndar
     return made.withColumn("print", F.xxhash64("context"))
 
 
+def short_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """``item_id, n_tokens`` of the items that are too short to be looked for."""
+    rows = columns(benchmark, item_id=item_col, text=text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            n = pa.array([len(TOKEN.findall((t or "").lower())) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["item_id", "n_tokens"])
+
+    counted = rows.mapInArrow(run, f"item_id {rows.schema['item_id'].dataType.simpleString()}, n_tokens long")
+    return counted.where(F.col("n_tokens") < least_tokens)
+
+
 def _bitmap(test: DataFrame, count: int) -> np.ndarray:
     """At most 2**22 words come to the driver, as Arrow, whatever the benchmark's size."""
     low, high = SLOT_BITS
@@ -144,12 +162,12 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("key", "size", "train", "test", "l", "r").mapInArrow(run, "key long, size long, train long, test long, n_same long")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """One row per contaminated document and item: ``doc_id, item_id, n_same, n_compared, n_hits``.
 
     ``n_same`` of ``n_compared`` aligned tokens agree in the best stretch; ``n_hits`` counts seeds.
     """
-    test = written(_seeded(columns(benchmark, id=item_col, text=item_text_col), -1, None, None), "test-seeds")
+    test = written(_seeded(columns(benchmark, id=item_col, text=item_text_col), -1, None, None).where(F.col("size") >= min(least_tokens, OVERLAP)), "test-seeds")
     counted = {r["size"]: r["n"] for r in test.groupBy("size").agg(F.count("*").alias("n")).collect()}  # OVERLAP rows at most
     train = columns(docs, id=id_col, text=text_col).where("id is not null")
     hits = written(_seeded(train, 0, sorted(counted), _bitmap(test, sum(counted.values()))).withColumnRenamed("id", "doc_id"), "hits")
@@ -162,9 +180,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return found.groupBy("doc_id", "item_id").agg(best.alias("b"), F.sum("n").alias("n_hits")).select("doc_id", "item_id", "b.n_same", "b.n_compared", "n_hits")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """``docs`` without the contaminated ones; every other row and column stays as it is.
     Rows are judged by id and text, so a clean row stays whatever else has its id."""
     key = row_key(id_col, text_col)
-    bad = overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key").select(F.col("doc_id").alias("key")).distinct()
+    bad = overlaps(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), benchmark, "key", least_tokens=least_tokens).select(F.col("doc_id").alias("key")).distinct()
     return without(docs, written(bad, "contaminated"), key)

@@ -210,8 +210,8 @@ def listed(spans: str) -> Column:
 def redact(df: DataFrame, text_col: str = "text", model: dict | None = None) -> DataFrame:
     """``df`` with every span of ``text_col`` replaced by its kind in brackets; overlapping
     spans become one, named by the first. Texts without spans, and nulls, stay as they are."""
-    keyed = df.withColumn("_whole", F.struct(*df.columns))
-    found = find_spans(keyed.select(F.col("_whole").alias("_key"), F.col(text_col).alias("_text")), "_key", "_text", model)
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_key"), F.col(f"`{text_col}`").alias("_text"))
+    found = find_spans(keyed, "_key", "_text", model)
     text = f"doc_id.`{text_col}`"
     # A place in a long string is found by counting, so what stays is taken from short pieces.
     pieces = f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"

@@ -106,5 +106,5 @@ def ablations(ledgered: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep(df: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that pass a policy, with all their columns."""
-    whole = df.select(F.struct(*df.columns).alias("_row"), F.col(text_col).alias("_text"))
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     return where_computed(ledger(whole, "_row", "_text"), passes(policy)).select("doc_id.*")

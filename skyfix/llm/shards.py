@@ -33,8 +33,8 @@ from .shared import columns, written
 LAW = "bytes"
 #: Bytes that every record has besides its text.
 RECORD_BYTES = 8
-#: Fine ranges, and keys sampled for each of them.
-RANGES, SAMPLED = 768, 16
+#: Fine ranges, at least and at most, rows for one of them, and keys sampled for each.
+RANGES, MOST_RANGES, RANGE_ROWS, SAMPLED = 768, 16_384, 1_000_000, 16
 #: The part of a shard up to which a group of copies is not cut.
 WHOLE = 1 / 40
 LEAST = -(2**63)
@@ -67,11 +67,12 @@ def _in_ranges(keys: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     return keys.withColumn("r", place("k", "o"))
 
 
-def splitters_of(keys: DataFrame, ranges: int = RANGES) -> list[tuple[int, int]]:
+def splitters_of(keys: DataFrame) -> list[tuple[int, int]]:
     """Splitters of about equal bytes, more where ranges would hold too many rows."""
     total, rows = keys.agg(F.sum("size"), F.count("*")).first()
     if not rows:
         return []
+    ranges = min(MOST_RANGES, max(RANGES, rows // RANGE_ROWS))
     drawn = _drawn(keys, F.col("size") * (ranges * SAMPLED / total))
     found = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
     counted = {r.r: r.n for r in _in_ranges(keys, found).groupBy("r").agg(F.count("*").alias("n")).collect()}
@@ -102,19 +103,25 @@ def _apart(keys: DataFrame) -> DataFrame:
 
 def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every row; slots are gapless from 0."""
-    rows = columns(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = columns(df, doc_id=id_col, text=text_col).withColumn("place", F.lit(None).cast("long"))
+    return _assigned(rows, shards).drop("place")
+
+
+def _assigned(rows: DataFrame, shards: int) -> DataFrame:
+    """The same for rows ``doc_id, text, place``; ``place`` is handed on."""
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     keys = rows.select(
-        "doc_id", F.xxhash64("text").alias("k"), F.xxhash64("doc_id").alias("o"),
+        "doc_id", "place", F.xxhash64("text").alias("k"), F.xxhash64("doc_id").alias("o"),
         (F.octet_length("text") + F.lit(RECORD_BYTES)).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
     )
     keys = _apart(written(keys, "keys"))
     ranged = written(_in_ranges(keys, splitters_of(keys)), "ranged")
-    # One row per range, at most RANGES and their subdivisions: the driver adds them up.
+    # One row per range, at most MOST_RANGES and their subdivisions: the driver adds them up.
     at, before, places, largest = 0, 0, [], 0
     for r in sorted(ranged.groupBy("r").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("size").alias("most")).collect()):
         places.append((r.r, before, at))
         before, at, largest = before + r.size, at + r.n, max(largest, r.most)
-    offsets = df.sparkSession.createDataFrame(places, "r int, bytes_before long, rows_before long")
+    offsets = rows.sparkSession.createDataFrame(places, "r int, bytes_before long, rows_before long")
     w = Window.partitionBy("r").orderBy("k", "o")
     until, ends = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("r").orderBy("k")  # equal keys together
     placed = ranged.withColumns({"sum": F.sum("size").over(until), "row": F.row_number().over(w), "group_end": F.sum("size").over(ends)})
@@ -125,17 +132,23 @@ def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "
     whole = F.col("group_end") - F.col("group_begin")
     fits = whole <= max(largest, before * WHOLE / shards)
     middle = F.col("bytes_before") + F.when(fits, (F.col("group_begin") + F.col("group_end")) / 2).otherwise(F.col("sum") - F.col("size") / 2)
-    placed = placed.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * (shards / max(before, 1)))).cast("int").alias("shard"), (F.col("rows_before") + F.col("row") - 1).alias("row"))
+    placed = placed.select("doc_id", "place", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * (shards / max(before, 1)))).cast("int").alias("shard"), (F.col("rows_before") + F.col("row") - 1).alias("row"))
     placed = written(placed, "placed")
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row per shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select("doc_id", "place", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """The records themselves as Parquet, a folder per shard, each in the order of its slots."""
-    keys = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.xxhash64(id_col)
-    by_text = df.withColumn("_o", keys[1]).withColumn("_crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    places = assign(df, shards, id_col, text_col).select(F.xxhash64("doc_id").alias("_o"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    one = places.groupBy("_o", "_crc").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    whole = by_text.join(one, ["_o", "_crc"]).drop("_o", "_crc")
-    whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """The records themselves as Parquet, a folder per shard, each in the order of its slots, with
+    their own columns beside ``shard`` and ``slot``; own columns of these names get underscores."""
+    names: list[str] = []
+    for name in df.columns:
+        while name.lower() in {"shard", "slot", *map(str.lower, names)}:
+            name += "_"
+        names.append(name)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place"))
+    rows = written(rows, "records")
+    keys = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"), "place")
+    placed = rows.join(_assigned(keys, shards).select("place", "shard", "slot"), "place").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    own = [F.col(f"row.`{c}`").alias(new) for c, new in zip(df.columns, names)]
+    placed.select(*own, "shard", "slot").write.partitionBy("shard").parquet(path)

@@ -5,6 +5,7 @@ import random
 import re
 from itertools import combinations
 from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -182,11 +183,11 @@ def test_op5_short_items_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(i % 70, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, size int")
     bench = spark.createDataFrame([(i % 9, t) for i, t in enumerate([*items, items[11]])], "item_id long, text string")
     exp = {(i % 70, j % 9) for i, t in enumerate(texts) for j, x in enumerate([*items, items[11]]) if contaminated(t or "", x or "")}
-    found = [(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs, bench).collect()]
+    found = [(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs, bench, least_tokens=1).collect()]
     assert set(found) == exp and len(found) == len(exp)
     # Rows are judged by id and text; a null id does not hide a passage.
     more = docs.union(spark.createDataFrame([(None, items[11], "c", 1), (None, "clean text", "c", 1), (3, "clean text", "c", 1)], docs.schema))
-    kept = decontaminate.clean(more, bench)
+    kept = decontaminate.clean(more, bench, least_tokens=1)
     assert kept.columns == docs.columns
     assert sorted((x.doc_id if x.doc_id is not None else -1, x.text or "") for x in kept.collect()) == sorted(
         [(i % 70, t or "") for i, t in enumerate(texts) if not any(contaminated(t or "", x or "") for x in items)] + [(-1, "clean text"), (3, "clean text")]
@@ -282,3 +283,66 @@ def test_stages_of_the_pipeline(spark, given):
     assert {i: r.ids for i, r in last.items()} == {i: sp.encode(t) for i, t in redacted.items()}
     whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256").collect()}
     assert whole == {i: r.ids_sha256 for i, r in last.items()}
+
+
+def test_items_too_short_convict_nothing(spark):
+    docs = table(spark, SF, "documents")
+    bench = spark.createDataFrame([(1, "the"), (2, "of the it that"), (3, None), (4, "one two three four five")], "item_id long, text string")
+    assert decontaminate.clean(docs, bench).count() == docs.count()
+    assert sorted(map(tuple, decontaminate.short_items(bench).collect())) == [(1, 1), (2, 4), (3, 0)]
+
+
+ODD_NAMES = "`a.b` string, `Text` string, _maybe string, _row string, `doc.id` long, `the text` string, slot string, shard_ string"
+
+
+def test_names_of_all_kinds_and_repeated_rows(spark, tmp_path):
+    """Every operator over the same table: names with dots and clashes, repeated rows, null ids."""
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        long = " ".join(f"word{k % 997}" for k in range(60_000)) + "."
+        given = [("x", "y", "m", "r", i, t, "s", "z") for i, t in [(1, "some words " * 9), (1, "some words " * 9), (1, "some words " * 9), (None, "mail me@here.org or not"), (None, "mail me@here.org or not"), (2, None), (3, ""), (4, long), (5, long + " more")]]
+        df = spark.createDataFrame(given, ODD_NAMES)
+        names = {"id_col": "doc.id", "text_col": "the text"}
+        n = len(given)
+        assert quality_rules.keep(df, text_col="the text").columns == df.columns and quality_rules.ledger(df, **names).count() == n
+        clean = personal_data.redact(df, text_col="the text")
+        assert clean.columns == df.columns and sorted(r["the text"] or "" for r in clean.collect())[2].startswith("mail [EMAIL]")
+        assert personal_data.find_spans(df, **names).count() == n
+        for deduplicate in (near_copies.deduplicate, simhash.deduplicate):
+            kept = deduplicate(df, **names)
+            assert kept.columns == df.columns and 4 <= kept.count() <= 5
+        assert simhash.near_duplicates(df, **names).count() == n
+        bench = spark.createDataFrame([(7, "word11 word12 word13 word14 word15 word16 word17 word18 word19")], "`item.id` long, `a.b` string")
+        found = decontaminate.overlaps(df, bench, **names, item_col="item.id", item_text_col="a.b")
+        assert {r.doc_id for r in found.collect()} == {4, 5}
+        bench = bench.toDF("item_id", "text")
+        assert decontaminate.clean(df, bench, **names).count() == n - 2
+        assert pieces.encode(df, model_path(), **names).count() == n and token_counts.count_tokens(df, ["a", "b"], **names).count() == n
+        left = {(r.doc_id, r.n_words): r.n_removed for r in substrings.remove_repeats(df, **names).collect()}
+        assert left[5, 60_001] > 59_900 and left[4, 60_000] == 0
+        assert shards.assign(df, 3, **names).count() == n
+        shards.write_shards(df, str(tmp_path / "out"), 3, **names)
+        back = spark.read.parquet(str(tmp_path / "out"))
+        assert back.count() == n and set(back.columns) == {c if c != "slot" else "slot_" for c in df.columns} | {"shard", "slot"}
+        made = web_archive.parsed(web_archive.read_archive(*web_archive.write_archive(df, "doc.id", "a.b", "the text")))
+        assert made.count() == n
+        text = page_text.extract(df, "doc.id", "the text", "a.b")
+        assert text.count() == n
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_written_slots_are_the_assigned_ones(spark, tmp_path):
+    rows = [(i % 5 if i % 7 else None, f"text {i % 3}" if i % 4 else None, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    shards.write_shards(df, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    places = lambda rows: sorted((r.shard, r.slot) for r in rows)
+    rows = back.collect()
+    assert places(rows) == places(shards.assign(df, 4).collect()) and {r.n for r in rows} == set(range(60))
+    # Without repeated rows each record has its own place.
+    df = df.dropDuplicates(["doc_id", "text"]).where("text is not null")
+    shards.write_shards(df, str(tmp_path / "more"), 4)
+    texts = {(r.doc_id, crc32(r.text.encode())): r.text for r in df.collect()}
+    placed = sorted((r.shard, r.slot, str(r.doc_id), r.text) for r in spark.read.parquet(str(tmp_path / "more")).collect())
+    assert placed == sorted((r.shard, r.slot, str(r.doc_id), texts[r.doc_id, r.text_crc32]) for r in shards.assign(df, 4).collect())
