@@ -104,7 +104,10 @@ def angular_size(x1: Column, y1: Column, x2: Column, y2: Column, width: Column,
         s = 1 + k * (x * x + y * y)
         return unit((x * s, y * s, F.lit(1.0)))
 
-    return angle_between(ray(x1, y1), ray(x2, y2))
+    known = focal.isNotNull() & height.isNotNull()
+    for c in (x1, y1, x2, y2):
+        known = known & c.isNotNull()
+    return F.when(known, angle_between(ray(x1, y1), ray(x2, y2)))
 
 
 def pixel_ground(d: Vector, lat: Column, lon: Column, alt: Column, ground: Column) -> tuple[Column, Column, Column]:

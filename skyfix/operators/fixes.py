@@ -2,7 +2,8 @@
 
 Witnesses come as rows ``session, witness, lat, lon, alt, az, el`` and, where known, ``ang`` (the
 object's angular size in degrees), ``az_b, el_b`` (a second moment) and ``t_a, t_b`` (its times).
-Sessions are bounded groups of witnesses; all steps shuffle on the session once.
+Sessions are bounded groups of witnesses. ``analyzed`` writes the placed lines and the solved ones, which
+all further steps read.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import EARTH_M, REFRACTION, azimuth, clamp, direction_at, dot, ecef_of_enu, solve3, with_geodetic
+from .scratch import written
 from .sightlines import nearest_points, with_reference
 
 OPTIONAL = ("ang", "az_b", "el_b", "t_a", "t_b")
@@ -88,8 +90,8 @@ def analyzed(witnesses: DataFrame, by: str = "session", order: str = "witness",
     """One row per session with two or more complete witnesses whose lines are not parallel:
     the point in its frame and on the globe, ranges, misses, baseline and convergence, mean size,
     position error, grade, and motion between two moments where there are any."""
-    lines = placed(witnesses, by, order)
-    solved = refracted(lines, by)
+    lines = written(placed(witnesses, by, order))
+    solved = written(refracted(lines, by))
     away = F.col("dx") * (F.col("x") - F.col("px")) + F.col("dy") * (F.col("y") - F.col("py")) + F.col("dz") * (F.col("z") - F.col("pz"))
     size = F.when(away > 0, 2 * away * F.tan(F.radians("ang") / 2))
     found = solved.withColumn("_size", size).groupBy(by, *POINT, "ref_lat", "ref_lon", "ref_alt").agg(F.avg("_size").alias("size_m")).join(pairs(lines, by, order), by)
@@ -102,7 +104,7 @@ def analyzed(witnesses: DataFrame, by: str = "session", order: str = "witness",
     found = found.withColumn("rating", grade)
     earth = ecef_of_enu(*(F.col(c) for c in ("x", "y", "z", "ref_lat", "ref_lon", "ref_alt")))
     found = with_geodetic(found.withColumns(dict(zip(("_ex", "_ey", "_ez"), earth))), "_ex", "_ey", "_ez")
-    found = found.drop("_ex", "_ey", "_ez", "ref_lat", "ref_lon", "ref_alt")
+    found = written(found.drop("_ex", "_ey", "_ez", "ref_lat", "ref_lon", "ref_alt"))
     return found.join(motion(lines, found, by), by, "left")
 
 

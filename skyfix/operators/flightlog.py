@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import EARTH_M, REFRACTION, angle_between, az_el, direction, enu, unit, wrapped
+from .scratch import written
 from .series import increasing
 
 #: Time over which a speed is taken where the log has none.
@@ -68,7 +69,9 @@ def positions_at(at: DataFrame, logs: DataFrame, by: str = "session", prefix: st
 
 def velocities_at(at: DataFrame, logs: DataFrame, by: str = "session") -> DataFrame:
     """``at`` with ground speed and heading from the places half a window before and after."""
-    keyed = at.withColumn("_at", F.struct(*at.columns)).select(by, "t_ms", "_at")
+    # Rows that are equal stay apart by a number of their own.
+    keyed = at.withColumn("_at", F.struct(*at.columns, F.monotonically_increasing_id().alias("_row")))
+    keyed = written(keyed.select(by, "t_ms", "_at"))
     early = positions_at(keyed.withColumn("t_ms", F.col("t_ms") - WINDOW_MS / 2).withColumn("_which", F.lit(0)), logs, by)
     late = positions_at(keyed.withColumn("t_ms", F.col("t_ms") + WINDOW_MS / 2).withColumn("_which", F.lit(1)), logs, by)
     ends = logs.groupBy(by).agg(F.min("t_ms").alias("_first"), F.max("t_ms").alias("_last"))
@@ -79,7 +82,7 @@ def velocities_at(at: DataFrame, logs: DataFrame, by: str = "session") -> DataFr
     zero = F.lit(0.0)
     e, n, _ = enu(F.col("q.log_lat"), F.col("q.log_lon"), zero, F.col("p.log_lat"), F.col("p.log_lon"), zero)
     ok = dt >= 0.001
-    return two.select("_at.*", F.when(ok, F.hypot(e, n) / dt).alias("log_speed_derived"), F.when(ok, F.pmod(F.degrees(F.atan2(e, n)) + 360, F.lit(360.0))).alias("log_heading_derived"))
+    return two.select(*[f"_at.{c}" for c in at.columns], F.when(ok, F.hypot(e, n) / dt).alias("log_speed_derived"), F.when(ok, F.pmod(F.degrees(F.atan2(e, n)) + 360, F.lit(360.0))).alias("log_heading_derived"))
 
 
 def altitude(abs_m: Column, rel_m: Column, home_m: Column, observer_m: Column) -> tuple[Column, Column]:
@@ -106,25 +109,29 @@ def sighted(rows: DataFrame, home_m: Column | None = None, span_m: Column | None
     return rows.withColumns(seen).drop("_h", "_e", "_n", "_u", "_dx", "_dy", "_dz")
 
 
-def separations(witnesses: DataFrame, logs: DataFrame, times: DataFrame, by: str = "session", home_m: Column | None = None) -> DataFrame:
+def separations(witnesses: DataFrame, logs: DataFrame, times: DataFrame, by: str = "session", home_m: Column | None = None, who: str | None = None) -> DataFrame:
     """``by, t_ms, sep_max, sep_min, n``: how far all of a session's sight-lines are from the log's
-    craft at each time. ``times``: ``by, t_ms``."""
+    craft at each time. ``times``: ``by, t_ms``. With ``who`` each witness counts alone, and
+    ``times`` may name it."""
     states = positions_at(times, logs, by)
     complete = witnesses.dropna(subset=["lat", "lon", "az", "el"])
-    both = sighted(states.join(complete, by), home_m)
-    return both.groupBy(by, "t_ms").agg(F.max("sep").alias("sep_max"), F.min("sep").alias("sep_min"), F.count("*").alias("n"), F.max("clamped").alias("clamped"))
+    both = sighted(states.join(complete, [by] if who is None or who not in times.columns else [by, who]), home_m)
+    return both.groupBy(by, *([who] if who else []), "t_ms").agg(F.max("sep").alias("sep_max"), F.min("sep").alias("sep_min"), F.count("*").alias("n"), F.max("clamped").alias("clamped"))
 
 
-def best_times(witnesses: DataFrame, logs: DataFrame, by: str = "session", step_ms: int = 500, fine_ms: int = 50) -> DataFrame:
+def best_times(witnesses: DataFrame, logs: DataFrame, by: str = "session", step_ms: int = 500, fine_ms: int = 50, who: str | None = None) -> DataFrame:
     """``by, t_ms, sep_max``: the time in the whole log that fits all witnesses best, in coarse
-    steps and then finer around the winner; the earliest among equals."""
+    steps and then finer around the winner; the earliest among equals. With ``who`` for each
+    witness alone; the log's states are still made once for a session."""
+    keys = [by, who] if who else [by]
+    witnesses, logs = written(witnesses), written(logs)
     span = logs.groupBy(by).agg(F.min("t_ms").cast("double").alias("_lo"), F.max("t_ms").cast("double").alias("_hi"))
     grid = lambda lo, hi, step: F.explode(F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.floor((hi - lo) / step).cast("int")), lambda i: lo + i * step), F.array(hi)))).alias("t_ms")
-    least = lambda s: s.groupBy(by).agg(F.min(F.struct("sep_max", "t_ms")).alias("m"))
-    coarse = least(separations(witnesses, logs, span.select(by, grid(F.col("_lo"), F.col("_hi"), step_ms)), by))
+    least = lambda s: s.groupBy(*keys).agg(F.min(F.struct("sep_max", "t_ms")).alias("m"))
+    coarse = written(least(separations(witnesses, logs, span.select(by, grid(F.col("_lo"), F.col("_hi"), step_ms)), by, None, who)))
     around = coarse.join(span, by).withColumns({"_from": F.greatest("_lo", F.col("m.t_ms") - step_ms), "_to": F.least("_hi", F.col("m.t_ms") + step_ms)})
-    fine = least(separations(witnesses, logs, around.select(by, grid(F.col("_from"), F.col("_to"), fine_ms)), by))
-    return fine.select(by, "m.t_ms", "m.sep_max")
+    fine = least(separations(witnesses, logs, around.select(*keys, grid(F.col("_from"), F.col("_to"), fine_ms)), by, None, who))
+    return fine.select(*keys, "m.t_ms", "m.sep_max")
 
 
 def stated_ms(when_ms: Column, video_s: Column) -> Column:
@@ -135,17 +142,16 @@ def stated_ms(when_ms: Column, video_s: Column) -> Column:
 def clock_checks(witnesses: DataFrame, logs: DataFrame, by: str = "session", who: str = "witness") -> DataFrame:
     """Each witness alone against the whole log: the offset of the best fit from the stated time,
     and whether the fit is sharp (a hovering craft fits many times alike)."""
-    alone = witnesses.dropna(subset=["when_ms", "lat", "lon", "az", "el"]).withColumn("_own", F.struct(by, who))
-    own_logs = alone.select(by, "_own").join(logs, by).drop(by)
-    alone = alone.withColumn("_stated", stated_ms(F.col("when_ms"), F.col("video_s")))
-    best = best_times(alone.drop(by), own_logs, "_own").withColumnRenamed("t_ms", "best_ms").withColumnRenamed("sep_max", "best_sep")
-    times = best.join(alone.select("_own", "_stated"), "_own")
-    near = times.select("_own", F.explode(F.array(F.col("best_ms") - 3000, F.col("best_ms") + 3000, F.col("_stated").cast("double"))).alias("t_ms"))
-    seps = separations(alone.drop(by), own_logs, near.distinct(), "_own").join(times, "_own")
+    alone = witnesses.dropna(subset=["when_ms", "lat", "lon", "az", "el"]).withColumn("_stated", stated_ms(F.col("when_ms"), F.col("video_s")))
+    alone, logs = written(alone), written(logs)
+    best = best_times(alone, logs, by, who=who).withColumnRenamed("t_ms", "best_ms").withColumnRenamed("sep_max", "best_sep")
+    times = written(best.join(alone.select(by, who, "_stated"), [by, who]))
+    near = times.select(by, who, F.explode(F.array(F.col("best_ms") - 3000, F.col("best_ms") + 3000, F.col("_stated").cast("double"))).alias("t_ms"))
+    seps = separations(alone, logs, near.distinct(), by, None, who).join(times, [by, who])
     off = F.abs(F.abs(F.col("t_ms") - F.col("best_ms")) - 3000) < 1e-6
-    found = seps.groupBy("_own", "best_ms", "best_sep", "_stated").agg(F.min(F.when(off, F.col("sep_max"))).alias("_off"), F.min(F.when(F.abs(F.col("t_ms") - F.col("_stated")) < 1e-6, F.col("sep_max"))).alias("stated_sep"))
+    found = seps.groupBy(by, who, "best_ms", "best_sep", "_stated").agg(F.min(F.when(off, F.col("sep_max"))).alias("_off"), F.min(F.when(F.abs(F.col("t_ms") - F.col("_stated")) < 1e-6, F.col("sep_max"))).alias("stated_sep"))
     rise = F.coalesce(F.col("_off") - F.col("best_sep"), F.lit(0.0))
-    return found.select(f"_own.{by}", f"_own.{who}", F.col("_stated").alias("stated_ms"), "stated_sep", "best_sep", ((F.col("best_ms") - F.col("_stated")) / 1000).alias("dt_s"), rise.alias("rise"), (rise > 0.35).alias("sharp"))
+    return found.select(by, who, F.col("_stated").alias("stated_ms"), "stated_sep", "best_sep", ((F.col("best_ms") - F.col("_stated")) / 1000).alias("dt_s"), rise.alias("rise"), (rise > 0.35).alias("sharp"))
 
 
 def compared(found: DataFrame, states: DataFrame, by: str = "session", span_m: float | None = None) -> DataFrame:

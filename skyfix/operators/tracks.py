@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.camera import angular_size, pixel_direction, pixel_direction_from_anchor
 from ..functions.geodesy import Vector, cross, direction, dot, less, norm, scaled
+from .scratch import written
 from .series import filled, kinematics, with_islands
 from .sightlines import fixes
 
@@ -86,7 +87,7 @@ def asof_directions(at: DataFrame, samples: DataFrame, by: list[str]) -> DataFra
 def _with_key(samples: DataFrame) -> DataFrame:
     """With the islands of every witness's track."""
     keyed = samples.withColumn("_key", F.struct("session", "witness"))
-    return with_islands(keyed, "_key", "t", LEAST_GAP).drop("_key", "dt", "gap")
+    return written(with_islands(written(keyed), "_key", "t", LEAST_GAP).drop("_key", "dt", "gap"))
 
 
 def stereo_positions(samples: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def stereo_positions(samples: DataFrame) -> DataFrame:
 def stereo_tracks(samples: DataFrame) -> DataFrame:
     """Per session with three or more common positions: how many, the mean ray miss, and the
     kinematics of the path, steps over its own holes left out."""
-    found = stereo_positions(samples)
+    found = written(stereo_positions(samples))
     stepped = with_islands(found, "session", "t", LEAST_GAP).drop("dt", "island")
     known = stepped.groupBy("session").agg(F.count("*").alias("n"), F.avg("rms_miss").alias("miss")).where("n >= 3")
     return kinematics(stepped, "session", "t", "x", "y", "z", "gap").join(known, "session")
@@ -122,11 +123,11 @@ def ray_miss(p: Vector, d: Vector, q: Vector, e: Vector) -> Column:
     return F.when((t > 0) & (u > 0), F.abs(dot(w, n)) / s / 2)
 
 
-def clock_errors(samples: DataFrame, offsets: DataFrame) -> DataFrame:
+def clock_errors(samples: DataFrame, offsets: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """``session, offset, miss, n``: for pairs of witnesses, how far their rays miss each other on
     average once ``offset`` seconds are added to the second's times. ``offsets``: ``session, offset``.
     Only times that both saw count, five or more of them."""
-    series = _with_key(samples)
+    series = _with_key(samples) if series is None else series
     order = F.dense_rank().over(Window.partitionBy("session").orderBy("witness"))
     series = series.withColumn("_w", order)
     mine = series.where("_w = 1").join(offsets, "session")
@@ -144,13 +145,15 @@ def clock_offsets(samples: DataFrame, reach: float = 45.0, step: float = 1.0, fi
     nearly half the miss without it. A hovering object fits any offset and adopts none."""
     sessions = samples.select("session").distinct()
     grid = lambda low, high, by: F.explode(F.transform(F.sequence(F.lit(round(low / by)), F.lit(round(high / by))), lambda i: i * by))
-    coarse = clock_errors(samples, sessions.select("session", grid(-reach, reach, step).alias("offset")))
+    series = _with_key(samples)
+    coarse = clock_errors(samples, sessions.select("session", grid(-reach, reach, step).alias("offset")), series)
+    coarse = written(coarse)
     base = coarse.where("abs(offset) < 1e-9").select("session", F.col("miss").alias("base"))
     first = coarse.groupBy("session").agg(F.min(F.struct("miss", "offset")).alias("m"))
     around = first.select("session", F.explode(F.transform(F.sequence(F.lit(-16), F.lit(16)), lambda i: i * fine + F.col("m.offset"))).alias("offset"))
     three = first.select("session", F.explode(F.array(F.lit(-3.0), F.lit(3.0))).alias("d"), F.col("m.offset").alias("o"))
-    near = clock_errors(samples, around.union(three.select("session", F.col("o") + F.col("d"))))
-    joined = near.join(first.select("session", F.col("m.offset").alias("o")), "session")
+    near = clock_errors(samples, around.union(three.select("session", F.col("o") + F.col("d"))), series)
+    joined = written(near).join(first.select("session", F.col("m.offset").alias("o")), "session")
     best = joined.where(F.abs(F.col("offset") - F.col("o")) < 2).groupBy("session").agg(F.min(F.struct("miss", "offset")).alias("b"))
     off = joined.where(F.abs(F.col("offset") - F.col("o")) > 2).groupBy("session").agg(F.min("miss").alias("off"))
     both = best.join(off, "session", "left").join(base, "session", "left").select("session", F.round("b.offset", 6).alias("offset"), F.col("b.miss").alias("miss"), "base", (F.col("off") - F.col("b.miss")).alias("rise"))

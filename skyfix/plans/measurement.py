@@ -246,16 +246,16 @@ def stereo_kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SP = enu_sql("lat", "lon", "alt", "rlat", "rlon", "ralt")
 SQL_STEREO = f"""WITH {OBSERVERS}, w AS (SELECT *, first_value(lat) OVER f AS rlat, first_value(lon) OVER f AS rlon, first_value(alt) OVER f AS ralt FROM observers WHERE witness % 8 < 3 WINDOW f AS (PARTITION BY session ORDER BY witness)),
-pl AS (SELECT session, witness, {_SP[0]} AS px, {_SP[1]} AS py, {_SP[2]} AS pz FROM w),
+pl AS (SELECT session, witness, {_SP[0]} AS px, {_SP[1]} AS py, {_SP[2]} AS pz, count(*) OVER (PARTITION BY session) AS own_n FROM w),
 a AS (SELECT session, witness, px, py, pz, i + (witness % 8) * 0.25 AS t FROM pl, range(0, 41) g(i) WHERE NOT (witness % 8 = 1 AND i BETWEEN 15 AND 22)),
 b AS (SELECT *, 3000 + t * 40 - px AS ax, 6000 - t * t - py AS ay, 2000 + (witness % 8) * 1.5 - pz AS az FROM a),
 s AS (SELECT session, witness, CAST(t AS DOUBLE) AS t, px, py, pz, ax / sqrt(ax * ax + ay * ay + az * az) AS dx, ay / sqrt(ax * ax + ay * ay + az * az) AS dy, az / sqrt(ax * ax + ay * ay + az * az) AS dz FROM b),
-q AS (SELECT x.session, x.t, y.witness FROM (SELECT DISTINCT session, t FROM s) x JOIN pl y USING (session)),
+q AS (SELECT x.session, x.t, y.witness, y.own_n FROM (SELECT DISTINCT session, t FROM s) x JOIN pl y USING (session)),
 lo AS (SELECT q.*, s.t AS t1, px, py, pz, dx AS x1, dy AS y1, dz AS z1 FROM q ASOF JOIN s ON q.session = s.session AND q.witness = s.witness AND q.t >= s.t),
 hi AS (SELECT lo.*, s.t AS t2, s.dx AS x2, s.dy AS y2, s.dz AS z2 FROM lo ASOF JOIN s ON lo.session = s.session AND lo.witness = s.witness AND lo.t <= s.t),
 m AS (SELECT *, CASE WHEN t2 > t1 THEN (t - t1) / (t2 - t1) ELSE 0 END AS f FROM hi WHERE t2 - t1 <= 4),
 r AS (SELECT *, x1 + (x2 - x1) * f AS ux, y1 + (y2 - y1) * f AS uy, z1 + (z2 - z1) * f AS uz, count(*) OVER (PARTITION BY session, t) AS seen FROM m),
-l AS (SELECT CAST(session * 100000 + round(t * 100) AS BIGINT) AS session, session AS own, t, px, py, pz, ux / sqrt(ux * ux + uy * uy + uz * uz) AS dx, uy / sqrt(ux * ux + uy * uy + uz * uz) AS dy, uz / sqrt(ux * ux + uy * uy + uz * uz) AS dz FROM r WHERE seen = 3),
+l AS (SELECT CAST(session * 100000 + round(t * 100) AS BIGINT) AS session, session AS own, t, px, py, pz, ux / sqrt(ux * ux + uy * uy + uz * uz) AS dx, uy / sqrt(ux * ux + uy * uy + uz * uz) AS dy, uz / sqrt(ux * ux + uy * uy + uz * uz) AS dz FROM r WHERE seen = own_n AND own_n >= 2),
 {_solved_ctes("l", "f")}, k AS (SELECT DISTINCT session, own, t FROM l),
 pos AS (SELECT own, t, x, y, z, rms_miss, lead(t) OVER v AS nt, lead(x) OVER v AS nx, lead(y) OVER v AS ny, lead(z) OVER v AS nz FROM f JOIN k USING (session) WHERE least > 0 WINDOW v AS (PARTITION BY own ORDER BY t)),
 c AS (SELECT own, count(*) AS n, avg(rms_miss) AS miss FROM pos GROUP BY own)

@@ -67,9 +67,17 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session documents, one row per witness in its order; numbers may come as strings."""
-    moment = "struct<t:string,az:string,el:string,angManual:string,videoTime:double>"
-    source = f"struct<id:string,name:string,lat:string,lon:string,alt:string,whenMs:bigint,fovH:double,natW:int,natH:int,A:{moment},B:{moment}>"
+    """Session documents, one row per witness in its order, in the columns that
+    ``verdicts.completed`` knows; numbers may come as strings, blanks are nulls."""
+    point = "struct<x:string,y:string>"
+    moment = f"struct<t:string,az:string,el:string,p1:{point},p2:{point},angManual:string,videoTime:double>"
+    source = f"struct<id:string,name:string,lat:string,lon:string,alt:string,whenMs:bigint,fovH:string,natW:string,natH:string,A:{moment},B:{moment},mediaAim:struct<dist:string>,track:array<string>,posePath:array<string>,objPath:array<string>>"
     raw = spark.read.schema(f"created string, sources array<{source}>").option("multiLine", True).json(path)
-    rows = raw.select(F.input_file_name().alias("session"), F.posexplode("sources").alias("witness", "s"))
-    return rows.select("session", "witness", "s.name", *[number(F.col(f"s.{c}")).alias(c) for c in ("lat", "lon", "alt")], *[number(F.col(f"s.A.{c}")).alias(c) for c in ("az", "el")], F.col("s.whenMs").alias("when_ms"))
+    rows = raw.select(F.input_file_name().alias("session"), F.posexplode_outer("sources").alias("witness", "s")).where("s is not null")
+    fields = {"lat": "lat", "lon": "lon", "alt": "alt", "az": "A.az", "el": "A.el", "x1": "A.p1.x", "y1": "A.p1.y", "x2": "A.p2.x", "y2": "A.p2.y", "width": "natW", "height": "natH", "fov": "fovH", "k": "mediaAim.dist"}
+    fields |= {"ang_manual": "A.angManual", "az_b": "B.az", "el_b": "B.el", "t_a": "A.t", "t_b": "B.t"}
+    counts = {"track_points": "track", "pose_points": "posePath", "object_points": "objPath"}
+    return rows.select(
+        "session", "witness", "s.name", *[number(F.col(f"s.{c}")).alias(n) for n, c in fields.items()], F.col("s.whenMs").cast("double").alias("when_ms"), F.col("s.A.videoTime").alias("video_s"),
+        *[F.greatest(F.lit(0), F.size(f"s.{c}")).alias(n) for n, c in counts.items()],
+    )
