@@ -32,7 +32,7 @@ from .scratch import written
 
 #: Bright dots and stars that seed, band of angle (degrees), votes' cells (of the centre's vector
 #: and of the roll in degrees), hypotheses per photo.
-DOTS, STARS, BAND, CELL, ROLL_CELL, HYPOTHESES = 7, 120, 0.5, 0.03, 4.0, 12
+DOTS, STARS, BAND, CELL, ROLL_CELL, HYPOTHESES = 9, 120, 0.5, 0.03, 4.0, 12
 #: What the guessed view is multiplied with.
 VIEWS = (0.9, 0.925, 0.95, 0.975, 1.0, 1.025, 1.05, 1.075, 1.1)
 #: Pixels, as a share of the width, within which a star and a dot pair off, pass by pass.

@@ -1,4 +1,5 @@
-"""Queries over pictures: poses from known directions, and photos solved by their stars."""
+"""Queries over pictures and the night sky: poses from known directions, photos solved by their
+stars, satellites."""
 
 from __future__ import annotations
 
@@ -6,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.camera import pixel_direction
-from ..operators import poses, stars
-from .adapters import table
+from ..operators import poses, satellites, stars
+from .adapters import observers, table
 
 _COL = F.col
 
@@ -61,5 +62,17 @@ def star_plate_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_STARS = """SELECT s_suppkey AS photo, s_suppkey * 37 % 360 * 1.0 AS az, 5.0 + s_suppkey % 60 AS el, s_suppkey % 31 - 15.0 AS roll, 66.0 AS fov, true AS met FROM supplier"""
 
-QUERIES = {f.__name__: f for f in (pose_from_anchors, star_plate_solve)}
+def satellite_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as satellites, eight to a session, and how each witness of it sees them two hours
+    after their epoch."""
+    sets = table(spark, sf_dir, "supplier").selectExpr(
+        "CAST(s_suppkey DIV 8 AS INT) AS session", "s_suppkey AS satellite", "format_string('1 %05dU 24001A   24100.50000000  .00000000  00000-0  10000-4 0  0000', s_suppkey % 100000) AS line1",
+        "format_string('2 %05d %8.4f %8.4f %07d %8.4f %8.4f %11.8f    00', s_suppkey % 100000, 30.0D + s_suppkey % 60, s_suppkey * 37 % 360 * 1.0D, s_suppkey % 20 * 10000, s_suppkey * 11 % 360 * 1.0D, s_suppkey * 7 % 360 * 1.0D, 13.0D + s_suppkey % 25 * 0.1D) AS line2",
+    )
+    w = observers(spark, sf_dir).selectExpr("session", "witness", "lat", "lon", "1712664000000D + witness % 7 * 60000 AS t_ms")
+    seen = satellites.above(sets, w, "session", -90.0)
+    return seen.select("session", "witness", "satellite", "place", *[F.round(c, 3).alias(c) for c in ("az", "el", "range_km")], F.round("glint_deg", 1).alias("glint_deg"), "lit", F.round("epoch_age_days", 6).alias("age_days"))
+
+
+QUERIES = {f.__name__: f for f in (pose_from_anchors, star_plate_solve, satellite_looks)}
 SQL = {"pose_from_anchors": SQL_ANCHORS, "star_plate_solve": SQL_STARS}
