@@ -46,11 +46,6 @@ def aurora_verdict(kp: Column, gm_lat: Column) -> Column:
     return F.when(F.abs(gm_lat) >= edge, "overhead").when(F.abs(gm_lat) >= edge - 7, "horizon").otherwise("unlikely")
 
 
-def active_window(doy: Column, first: Column, last: Column) -> Column:
-    """Whether a day of the year lies in a window that may wrap over new year."""
-    return F.when(first <= last, (doy >= first) & (doy <= last)).otherwise((doy >= first) | (doy <= last))
-
-
 def balloon_verdict(speed_ratio: Column, heading_off: Column) -> Column:
     return (
         F.when((heading_off <= 25) & speed_ratio.between(0.5, 1.6), "consistent")

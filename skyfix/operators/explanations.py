@@ -104,9 +104,16 @@ def zones(df: DataFrame, most_km: float = 250.0, step_km: float = 2.0) -> DataFr
     out = out.withColumn("type_name", F.coalesce(names[F.col("type")], F.col("type"))).drop("edges", "nearest")
     if "look_az" not in df.columns:
         return out
-    steps = int(most_km / step_km)
-    lat, lon = "(obs_lat + d * cos(radians(look_az)) / 111.32D)", f"(obs_lon + d * sin(radians(look_az)) / ({k}))"
-    hits = out.withColumn("along", F.expr(f"transform(transform(sequence(1, {steps}), s -> s * {step_km}D), d -> {inside_rings('rings', lat, lon)})"))
+    # Along the line of sight a place is inside if the observer is, once for each edge crossed before.
+    out = out.withColumns({"_k": F.expr(k), "_ux": F.sin(F.radians("look_az")), "_uy": F.cos(F.radians("look_az"))})
+    place = "named_struct('x', ({0}[0] - obs_lon) * _k, 'y', ({0}[1] - obs_lat) * 111.32D)"
+    ends = f"flatten(transform(rings, r -> transform(sequence(0, size(r) - 1), i -> named_struct('a', {place.format('r[if(i = 0, size(r) - 1, i - 1)]')}, 'b', {place.format('r[i]')}))))"
+    side = "(e.{0}.x * _uy - e.{0}.y * _ux > 0)"
+    cut = f"filter({ends}, e -> {side.format('a')} <> {side.format('b')})"
+    away = "(e.a.x * (e.b.y - e.a.y) - e.a.y * (e.b.x - e.a.x)) / (_ux * (e.b.y - e.a.y) - _uy * (e.b.x - e.a.x))"
+    out = out.withColumn("_met", F.expr(f"filter(transform({cut}, e -> {away}), d -> d > 0)"))
+    along = f"if(inside or size(_met) > 0, transform(sequence(1, {int(most_km / step_km)}), s -> (cast(inside as int) + size(filter(_met, d -> d < s * {step_km}D))) % 2 = 1), cast(array() as array<boolean>))"
+    hits = out.withColumn("along", F.expr(along)).drop("_k", "_ux", "_uy", "_met")
     hits = hits.withColumn("first", F.array_position("along", True))
     left = F.expr("array_position(slice(along, cast(first as int) + 1, size(along)), false)")
     enter = F.when(F.col("first") > 0, F.col("first") * step_km)

@@ -26,23 +26,6 @@ SQL_AURORA = f"""WITH {TRACK}, b AS (SELECT track, t, floor(t / 10800) AS bin FR
 g AS (SELECT track, t, kp, round(degrees(asin(sin(radians(track % 70)) * sin(radians(80.9)) + cos(radians(track % 70)) * cos(radians(80.9)) * cos(radians(-100.0) - radians(-72.6)))), 4) AS gm_lat FROM b JOIN kp USING (bin))
 SELECT *, CASE WHEN abs(gm_lat) >= 67 - 2 * kp THEN 'overhead' WHEN abs(gm_lat) >= 67 - 2 * kp - 7 THEN 'horizon' ELSE 'unlikely' END AS verdict FROM g"""
 
-#: Meteor showers, first and last day of the year, and the day of the peak.
-SHOWERS = (("Quadrantids", 362, 12, 3), ("Lyrids", 104, 120, 112), ("Eta Aquariids", 109, 148, 126), ("Perseids", 198, 236, 224), ("Orionids", 275, 311, 294), ("Leonids", 310, 334, 321), ("Geminids", 338, 354, 348))
-
-
-def shower_active_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Showers active on every order's day; one window wraps over new year."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.dayofyear("o_orderdate").alias("doy"))
-    s = F.broadcast(spark.createDataFrame(list(SHOWERS), "shower string, first int, last int, peak int"))
-    active = o.join(s, sky.active_window(F.col("doy"), F.col("first"), F.col("last")))
-    return active.select("o_orderkey", "shower", (F.pmod(F.col("doy") - F.col("peak") + 182, F.lit(365)) - 182).alias("from_peak"))
-
-
-_SHOWERS = ", ".join(str(x) for x in SHOWERS)
-SQL_SHOWERS = f"""WITH o AS (SELECT o_orderkey, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy FROM orders)
-SELECT o_orderkey, shower, CAST((doy - peak + 182 + 365) % 365 - 182 AS INTEGER) AS from_peak FROM o JOIN (VALUES {_SHOWERS}) s(shower, f, l, peak) ON CASE WHEN f <= l THEN doy BETWEEN f AND l ELSE doy >= f OR doy <= l END"""
-
-
 def balloon_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether line items' drift fits the wind: speed ratio and heading difference."""
     li = table(spark, sf_dir, "lineitem")
@@ -81,20 +64,30 @@ SQL_WEATHER = """WITH l AS (SELECT l_orderkey, l_linenumber, greatest(0.0, 125 *
 SELECT l_orderkey, l_linenumber, round(base, 4) AS base_m, round(CASE WHEN el > 0.5 THEN base / sin(radians(el)) END, 3) AS range_m, CASE WHEN rh >= 65 THEN 'likely' WHEN rh >= 40 THEN 'shortlived' ELSE 'dry' END AS contrail FROM l"""
 
 
+#: Degrees of a cell of the map, as large as a zone reaches to one side.
+CELL = 0.08
+
+
 def airspace_point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates inside five-sided zones: even-odd crossings of the zone's exploded edges."""
-    zones = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS zone", "explode(sequence(0, 4)) AS k")
-    at = lambda k: (F.lit(42.0) + F.col("zone") * 0.012 + 0.05 * F.sin(F.radians(72.0 * k + F.col("zone"))), F.lit(-123.0) + F.col("zone") * 0.015 + 0.07 * F.cos(F.radians(72.0 * k + F.col("zone"))))
-    (y1, x1), (y2, x2) = at(F.col("k")), at(F.col("k") + 1)
-    edges = zones.select(F.col("zone").alias("session"), F.col("k").alias("edge"), y1.alias("y1"), x1.alias("x1"), y2.alias("y2"), x2.alias("x2"))
-    c = candidates(spark, sf_dir).join(edges, "session")
+    """How many five-sided zones hold each candidate: even-odd crossings of the edges of the zones
+    that reach into its cell of the map."""
+    zones = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS zone", "42.0D + n_nationkey * 0.012D AS y", "-123.0D + n_nationkey * 0.015D AS x")
+    corner = lambda k: (F.col("y") + 0.05 * F.sin(F.radians(72.0 * k + F.col("zone"))), F.col("x") + 0.07 * F.cos(F.radians(72.0 * k + F.col("zone"))))
+    around = lambda c: F.explode(F.array(*[F.floor(F.col(c) / CELL) + d for d in (-1, 0, 1)]))
+    cells = zones.withColumn("cy", around("y")).withColumn("cx", around("x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    (y1, x1), (y2, x2) = corner(F.col("k")), corner(F.col("k") + 1)
+    edges = cells.select("zone", "cy", "cx", y1.alias("y1"), x1.alias("x1"), y2.alias("y2"), x2.alias("x2"))
+    c = candidates(spark, sf_dir).select("candidate", "c_lat", "c_lon", F.floor(F.col("c_lat") / CELL).alias("cy"), F.floor(F.col("c_lon") / CELL).alias("cx"))
+    met = c.join(edges, ["cy", "cx"], "left")
     crosses = ((F.col("y1") > F.col("c_lat")) != (F.col("y2") > F.col("c_lat"))) & (F.col("c_lon") < (F.col("x2") - F.col("x1")) * (F.col("c_lat") - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    return c.groupBy("candidate").agg((F.count_if(crosses) % 2 == 1).alias("inside"))
+    held = met.groupBy("candidate", "zone").agg((F.count_if(crosses) % 2).alias("inside"))
+    return held.groupBy("candidate").agg(F.sum("inside").alias("n_zones"))
 
 
 _AT = lambda k: (f"(42.0 + zone * 0.012 + 0.05 * sin(radians(72.0 * {k} + zone)))", f"(-123.0 + zone * 0.015 + 0.07 * cos(radians(72.0 * {k} + zone)))")
-SQL_RING = f"""WITH {CANDIDATES}, e AS (SELECT zone AS session, k, {_AT("k")[0]} AS y1, {_AT("k")[1]} AS x1, {_AT("(k + 1)")[0]} AS y2, {_AT("(k + 1)")[1]} AS x2 FROM (SELECT n_nationkey AS zone FROM nation), range(0, 5) g(k))
-SELECT candidate, count(*) FILTER ((y1 > c_lat) <> (y2 > c_lat) AND c_lon < (x2 - x1) * (c_lat - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS inside FROM candidates JOIN e USING (session) GROUP BY candidate"""
+SQL_RING = f"""WITH {CANDIDATES}, e AS (SELECT zone, k, {_AT("k")[0]} AS y1, {_AT("k")[1]} AS x1, {_AT("(k + 1)")[0]} AS y2, {_AT("(k + 1)")[1]} AS x2 FROM (SELECT n_nationkey AS zone FROM nation), range(0, 5) g(k)),
+h AS (SELECT candidate, zone, count(*) FILTER ((y1 > c_lat) <> (y2 > c_lat) AND c_lon < (x2 - x1) * (c_lat - y1) / nullif(y2 - y1, 0) + x1) % 2 AS inside FROM candidates, e GROUP BY candidate, zone)
+SELECT candidate, CAST(sum(inside) AS BIGINT) AS n_zones FROM h GROUP BY candidate"""
 
 
 def urban_ray_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +194,7 @@ def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    (aurora_kp_bin, SQL_AURORA), (shower_active_wrap, SQL_SHOWERS), (balloon_verdicts, SQL_BALLOON), (wind_level_nearest, SQL_LEVELS), (weather_bounds, SQL_WEATHER), (airspace_point_in_ring, SQL_RING),
+    (aurora_kp_bin, SQL_AURORA), (balloon_verdicts, SQL_BALLOON), (wind_level_nearest, SQL_LEVELS), (weather_bounds, SQL_WEATHER), (airspace_point_in_ring, SQL_RING),
     (urban_ray_slab, SQL_SLAB), (pins_worst_of_best, SQL_PINS), (sonde_launch_window, SQL_SONDE), (grade_worst_of, SQL_GRADE), (report_scrape_meta, SQL_SCRAPE), (gps_mismatch, SQL_GPS),
     (despike_sequential, ""), (nms_greedy, ""), (thin_by_gap, ""), (homography_fit, ""),
 )

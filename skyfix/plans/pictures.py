@@ -39,19 +39,19 @@ SQL_ANCHORS = """SELECT s_suppkey AS photo, s_suppkey % 6 + 1 AS n, s_suppkey *
 
 
 def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as stars, 200 to a sky, strewn at random by hashes of their keys."""
+    """Parts as stars, 400 to a sky, strewn at random by hashes of their keys."""
     p = table(spark, sf_dir, "part").selectExpr(
-        "CAST(p_partkey DIV 200 AS INT) AS sky", "p_partkey AS star", "1 - 2 * pmod(xxhash64(p_partkey, 1), 1000003) / 1000003.0D AS gz", "2 * pi() * pmod(xxhash64(p_partkey, 2), 1000003) / 1000003.0D AS lon", "p_partkey * 7919 % 200 * 0.03D AS mag"
+        "CAST(p_partkey DIV 400 AS INT) AS sky", "p_partkey AS star", "1 - 2 * pmod(xxhash64(p_partkey, 1), 1000003) / 1000003.0D AS gz", "2 * pi() * pmod(xxhash64(p_partkey, 2), 1000003) / 1000003.0D AS lon", "p_partkey * 7919 % 400 * 0.015D AS mag"
     )
     flat = F.sqrt(1 - _COL("gz") * _COL("gz"))
     return p.select("sky", "star", (flat * F.sin("lon")).alias("gx"), (flat * F.cos("lon")).alias("gy"), "gz", "mag")
 
 
 def star_plate_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos, ten to a sky, with the stars in their picture and three dots that are none (rows
-    whose picture has fewer than twelve stars are not asked): the placement that was planted."""
+    """Photos, twenty to a sky, with the stars in their picture and three dots that are none: the
+    placement that was planted, from no placement at all."""
     sky = stars.written(_stars(spark, sf_dir))
-    p = _photos(spark, sf_dir).selectExpr("CAST(photo DIV 10 AS INT) AS sky", "photo", "t_az AS az", "t_el AS el", "t_roll AS roll", "66.0D AS fov", "0.0D AS k", "width", "height", "1 AS hypothesis")
+    p = _photos(spark, sf_dir).selectExpr("CAST(photo DIV 20 AS INT) AS sky", "photo", "t_az AS az", "t_el AS el", "t_roll AS roll", "66.0D AS fov", "0.0D AS k", "width", "height", "1 AS hypothesis")
     seen = stars.written(stars.in_frame(p, sky, ["sky"]).select("photo", "sky", "star", "mag", "sx", "sy", "width", "height"))
     decoys = p.select("photo", "sky", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).selectExpr("photo", "sky", "-1 - i AS star", "i * 1.1D + 0.5D AS mag", "(photo * 613 + i * 977) % 4000 * 1.0D AS sx", "(photo * 419 + i * 733) % 3000 * 1.0D AS sy", "width", "height")
     rank = F.row_number().over(stars.Window.partitionBy("photo").orderBy("mag", "star"))
