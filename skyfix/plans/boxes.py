@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aircraft, buildings, roads
-from .adapters import TRACK, table, track
+from ..operators import aircraft, buildings, roads, sondes
+from .adapters import OBSERVERS, TRACK, azimuth_sql, enu_sql, observers, table, track
 
 
 def hull_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +82,33 @@ b AS (SELECT c.hex, c.event_id, c.lat AS clat, c.lon AS clon, c.alt_m AS calt, l
 SELECT hex, event_id, coalesce(near <= {HOLE}, false) AS refined, round(CASE WHEN near <= {HOLE} THEN coalesce(la + (lb - la) * f, la, lb) ELSE clat END, 6) AS lat,
   round(CASE WHEN near <= {HOLE} THEN coalesce(oa + (ob - oa) * f, oa, ob) ELSE clon END, 6) AS lon, round(CASE WHEN near <= {HOLE} THEN coalesce(aa + (ab - aa) * f, aa, ab) ELSE calt END, 6) AS alt_m FROM b"""
 
-QUERIES = {f.__name__: f for f in (hull_areas, visible_lines, road_budget, aircraft_refined)}
-SQL = {"hull_areas": SQL_HULLS, "visible_lines": SQL_VISIBLE, "road_budget": SQL_ROADS, "aircraft_refined": SQL_AIRCRAFT}
+def sondes_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as balloons on straight ways, 120 to a session, near enough to some witness; every
+    other session has a witness with a track of its own."""
+    balloons = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey DIV 120 AS INT) AS session", "c_custkey AS serial", "explode(sequence(-120, 120, 60)) AS t")
+    tracks = balloons.selectExpr("session", "serial", "t", "41.5D + serial % 101 * 0.011D + t * 0.00002D * (serial % 7) AS lat", "-123.6D + serial % 89 * 0.013D - t * 0.00001D * (serial % 5) AS lon", "3000.0D + serial % 60 * 500 + t * 5 AS alt_m")
+    w = observers(spark, sf_dir)
+    samples = w.where("witness % 8 = 0 and session % 2 = 0").select("session", "witness", F.explode(F.array(*[F.lit(float(x)) for x in (-200, -90, -30, 15, 75)])).alias("t"), "az", "el")
+    samples = samples.withColumn("az", F.pmod(F.col("az") + F.col("t") * 0.02, F.lit(360.0)))
+    r = sondes.ranked(sondes.ever_within(tracks, w, 60.0), w, samples)
+    return r.select("session", "serial", "place", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, 3).alias(c) for c in ("sep_max", "worst_mean", "range_m", "pred_ang", "overlap_s")])
+
+
+_AT = ("(41.5 + serial % 101 * 0.011 + t * 0.00002 * (serial % 7))", "(-123.6 + serial % 89 * 0.013 - t * 0.00001 * (serial % 5))", "(3000.0 + serial % 60 * 500 + t * 5)")
+_E, _N, _U = enu_sql(*_AT, "lat", "lon", "alt")
+_SEEN = f"SELECT session, serial, witness, t, az, el, {_E} AS e, {_N} AS n_, {_U} AS u FROM {{}}"
+_EL = "atan2(u + 0.13 * (e * e + n_ * n_) / (2 * 6371000.0), sqrt(e * e + n_ * n_))"
+_SEP = f"degrees(acos(greatest(-1.0, least(1.0, cos(radians(el)) * cos({_EL}) * cos(radians(az) - atan2(e, n_)) + sin(radians(el)) * sin({_EL})))))"
+SQL_SONDES = f"""WITH {OBSERVERS}, b AS (SELECT CAST(c_custkey // 120 AS INTEGER) AS session, c_custkey AS serial FROM customer),
+g AS (SELECT session, serial, lat, lon, {_AT[0]} AS la, {_AT[1]} AS lo FROM b JOIN observers USING (session), (VALUES (-120), (-60), (0), (60), (120)) v(t)),
+k AS (SELECT DISTINCT session, serial FROM g WHERE 2 * 6371000.0 * asin(sqrt(pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2))) <= 60000),
+i AS (SELECT session, serial, witness, lat, lon, alt, az, el, 0.0 AS t FROM k JOIN observers USING (session)), s AS ({_SEEN.format("i")}),
+m AS (SELECT session, serial, max({_SEP}) AS sep_max, arg_min(sqrt(e * e + n_ * n_ + u * u), witness) AS range_m FROM s GROUP BY ALL),
+j AS (SELECT session, serial, witness, lat, lon, alt, ((az + t * 0.02) % 360 + 360) % 360 AS az, el, t FROM k JOIN observers USING (session), (VALUES (-90.0), (-30.0), (15.0), (75.0)) v(t) WHERE witness % 8 = 0 AND session % 2 = 0), h AS ({_SEEN.format("j")}),
+o AS (SELECT session, serial, avg({_SEP}) AS worst_mean, CAST(count(*) AS BIGINT) AS n, CAST(max(t) - min(t) AS DOUBLE) AS overlap_s FROM h GROUP BY ALL),
+f AS (SELECT m.*, worst_mean, n, overlap_s FROM m LEFT JOIN o USING (session, serial))
+SELECT session, serial, CAST(row_number() OVER (PARTITION BY session ORDER BY coalesce(worst_mean, sep_max + 999), serial) AS INTEGER) AS place, coalesce(n, 0) AS n, round(sep_max, 3) AS sep_max, round(worst_mean, 3) AS worst_mean, round(range_m, 3) AS range_m,
+  round(2 * degrees(atan((1.5 + 6 * least(1.0, (3000.0 + serial % 60 * 500) / 32000.0)) / 2 / range_m)), 3) AS pred_ang, overlap_s FROM f"""
+
+QUERIES = {f.__name__: f for f in (hull_areas, visible_lines, road_budget, aircraft_refined, sondes_ranked)}
+SQL = {"hull_areas": SQL_HULLS, "visible_lines": SQL_VISIBLE, "road_budget": SQL_ROADS, "aircraft_refined": SQL_AIRCRAFT, "sondes_ranked": SQL_SONDES}
