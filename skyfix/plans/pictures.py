@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.camera import pixel_direction
-from ..operators import poses, satellites, stars
+from ..operators import fusion, poses, satellites, stars
 from .adapters import observers, table
 
 _COL = F.col
@@ -74,5 +74,45 @@ def satellite_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("session", "witness", "satellite", "place", *[F.round(c, 3).alias(c) for c in ("az", "el", "range_km")], F.round("glint_deg", 1).alias("glint_deg"), "lit", F.round("epoch_age_days", 6).alias("age_days"))
 
 
-QUERIES = {f.__name__: f for f in (pose_from_anchors, star_plate_solve, satellite_looks)}
-SQL = {"pose_from_anchors": SQL_ANCHORS, "star_plate_solve": SQL_STARS}
+def _clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as clips of a swaying camera, two frames a second, four of every twelve weak and
+    frozen; its log has a bias, and a clock that is off by up to 0.4 s."""
+    c = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS clip", "explode(sequence(0, 56)) AS i")
+    path = lambda t: (F.pmod(_COL("clip") * 37 + 10 * F.sin(t * 0.8), F.lit(360.0)), 10 + 4 * F.cos(t), (_COL("clip") % 5).cast("double"))
+    weak = (_COL("i") % 12).between(5, 8)
+    seen = F.when(weak, F.floor(_COL("i") / 12) * 12 + 4).otherwise(_COL("i"))
+    az, el, roll = path(seen * 0.5)
+    drift = F.floor((seen + 3) / 12) * 0.2
+    pictures = c.select("clip", (_COL("i") * 0.5).alias("t"), F.pmod(az + drift, F.lit(360.0)).alias("az"), el.alias("el"), roll.alias("roll"), F.when(weak, 2).otherwise(20).alias("n"), F.lit(False).alias("held"))
+    t = _COL("i") * 0.25
+    log = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS clip", "explode(sequence(-12, 130)) AS i")
+    az, el, roll = path(t)
+    return pictures, log.select("clip", (t + (_COL("clip") % 9 - 4) * 0.1).alias("t"), F.pmod(az + 25, F.lit(360.0)).alias("az"), (el - 3).alias("el"), (roll + 1).alias("roll"))
+
+
+def sensor_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each clip's lag to its log, found from the trusted frames."""
+    pictures, logs = _clips(spark, sf_dir)
+    drift = F.floor((_COL("t") * 2 + 3) / 12) * 0.2
+    found = fusion.offsets(pictures.where("n >= 6").withColumn("az", F.pmod(_COL("az") - drift, F.lit(360.0))), logs)
+    return found.select("clip", F.round("offset", 2).alias("offset"), (F.round("rms", 6) == 0).alias("exact"), (_COL("confidence") > 0.9).alias("sure"))
+
+
+SQL_SYNC = "SELECT s_suppkey AS clip, round((s_suppkey % 9 - 4) * 0.1, 2) + 0.0 AS offset, true AS exact, true AS sure FROM supplier"
+
+
+def sensor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak frames carried by the log and bridged to the next trusted one; the last run stays open."""
+    pictures, logs = _clips(spark, sf_dir)
+    lags = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS clip", "(s_suppkey % 9 - 4) * 0.1D AS offset")
+    path = fusion.fused(pictures, logs, lags)
+    return path.select("clip", "t", F.pmod(F.round("az", 4), F.lit(360.0)).alias("az"), F.round("el", 4).alias("el"), F.round("roll", 4).alias("roll"), "src")
+
+
+SQL_FUSION = """WITH f AS (SELECT s_suppkey AS clip, i, i * 0.5 AS t, i % 12 BETWEEN 5 AND 8 AS weak, i // 12 * 12 + 4 AS a FROM supplier, range(0, 57) g(i)),
+d AS (SELECT *, CASE WHEN NOT weak THEN (i + 3) // 12 * 0.2 WHEN i > 52 THEN (a + 3) // 12 * 0.2 ELSE (a + 3) // 12 * 0.2 + 0.2 * (i - a) / 5.0 END AS drift FROM f)
+SELECT clip, CAST(t AS DOUBLE) AS t, round((((clip * 37 + 10 * sin(t * 0.8) + drift) % 360) + 360) % 360, 4) % 360 AS az, round(10 + 4 * cos(t), 4) AS el, CAST(clip % 5 AS DOUBLE) AS roll,
+  CASE WHEN NOT weak THEN 'v' WHEN i > 52 THEN 's' ELSE 'b' END AS src FROM d"""
+
+QUERIES = {f.__name__: f for f in (pose_from_anchors, star_plate_solve, satellite_looks, sensor_sync, sensor_fusion)}
+SQL = {"pose_from_anchors": SQL_ANCHORS, "star_plate_solve": SQL_STARS, "sensor_sync": SQL_SYNC, "sensor_fusion": SQL_FUSION}
