@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.camera import pixel_direction
-from ..operators import fusion, poses, satellites, stars
+from ..operators import fusion, poses, satellites, skylines, stars
 from .adapters import observers, table
 
 _COL = F.col
@@ -114,5 +114,22 @@ d AS (SELECT *, CASE WHEN NOT weak THEN (i + 3) // 12 * 0.2 WHEN i > 52 THEN (a
 SELECT clip, CAST(t AS DOUBLE) AS t, round((((clip * 37 + 10 * sin(t * 0.8) + drift) % 360) + 360) % 360, 4) % 360 AS az, round(10 + 4 * cos(t), 4) AS el, CAST(clip % 5 AS DOUBLE) AS roll,
   CASE WHEN NOT weak THEN 'v' WHEN i > 52 THEN 's' ELSE 'b' END AS src FROM d"""
 
-QUERIES = {f.__name__: f for f in (pose_from_anchors, star_plate_solve, satellite_looks, sensor_sync, sensor_fusion)}
-SQL = {"pose_from_anchors": SQL_ANCHORS, "star_plate_solve": SQL_STARS, "sensor_sync": SQL_SYNC, "sensor_fusion": SQL_FUSION}
+def skyline_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points of photographed skylines, fifteen a photo, each photo off by a turn, a lift
+    and a roll of its own: what brings it back onto the profile."""
+    wave = lambda az, p: 2 + 1.5 * F.sin(F.radians(az)) + F.sin(F.radians(3 * az + p * 7)) + 0.5 * F.cos(F.radians(7 * az + p))
+    c = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey DIV 15 AS INT) AS photo", "radians(-28.0D + 4 * (c_custkey % 15)) AS thx")
+    az, photo = 100 + F.round(F.degrees("thx"), 6), _COL("photo")
+    turn, lift, roll = (photo % 60) * 2 - 60.0, (photo % 9 - 4) * 0.25, photo % 7 - 3.0
+    points = c.select("photo", "thx", az.alias("az"), (wave(az + turn, photo) - lift + roll * _COL("thx")).alias("el"))
+    columns = F.explode(F.sequence(F.lit(0), F.lit(skylines.COLUMNS - 1))).alias("col")
+    profiles = c.select("photo").distinct().select("photo", columns).withColumn("el", wave(_COL("col") * skylines.STEP, photo))
+    m = skylines.matched(points, profiles)
+    return m.select("photo", *[F.round(F.round(x, 3) + 0.0, 3).alias(x) for x in ("d_az", "d_el", "d_roll")], (_COL("rms") < 1e-6).alias("met"), "n")
+
+
+SQL_TURNS = """SELECT CAST(c_custkey // 15 AS INTEGER) AS photo, (c_custkey // 15 % 60) * 2 - 60.0 AS d_az, (c_custkey // 15 % 9 - 4) * 0.25 AS d_el, c_custkey // 15 % 7 - 3.0 AS d_roll, true AS met, count(*) AS n
+FROM customer GROUP BY c_custkey // 15 HAVING count(*) >= 12"""
+
+QUERIES = {f.__name__: f for f in (pose_from_anchors, star_plate_solve, satellite_looks, sensor_sync, sensor_fusion, skyline_turns)}
+SQL = {"pose_from_anchors": SQL_ANCHORS, "star_plate_solve": SQL_STARS, "sensor_sync": SQL_SYNC, "sensor_fusion": SQL_FUSION, "skyline_turns": SQL_TURNS}
