@@ -40,8 +40,13 @@ def quaternion(m: Matrix) -> Quaternion:
         (part(off[1], size[2]), part(off[3], size[2]), size[2] / 4, part(off[5], size[2])),
         (part(off[2], size[3]), part(off[4], size[3]), part(off[5], size[3]), size[3] / 4),
     ]
-    which = [trace > 0, (m[0] > m[4]) & (m[0] > m[8]), m[4] > m[8]]
-    return tuple(F.when(which[0], made[0][i]).when(which[1], made[1][i]).when(which[2], made[2][i]).otherwise(made[3][i]) for i in range(4))
+    largest = F.greatest(*size)
+    picked = [F.lit(None).cast("double")] * 4
+    for s, parts in reversed(list(zip(size, made))):
+        picked = [F.when(s == largest, v).otherwise(other) for v, other in zip(parts, picked)]
+    # Either sign is the same turn: the scalar part counts as positive.
+    sign = F.when(picked[0] < 0, -1.0).otherwise(1.0)
+    return tuple(v * sign for v in picked)
 
 
 def matrix(q: Quaternion) -> Matrix:

@@ -115,6 +115,7 @@ def arbitrated(witnesses: DataFrame, by: str = "session", order: str = "witness"
     Along the trusted bearing the place is sought whose ranges to both have the ratio that the
     sizes ask for: a quadratic in the range. The smaller correction wins."""
     sized = witnesses.dropna(subset=["lat", "lon", "az", "ang"])
+    sized = sized.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("_r <= 2").drop("_r")
     two = sized.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "lat", "lon", "az", "ang"))).alias("w")).where(F.size("w") >= 2)
     row = two.select(by, *[F.col("w")[i][c].alias(f"{c}{i}") for i in (0, 1) for c in (order, "lat", "lon", "az", "ang")])
     east = (F.col("lon1") - F.col("lon0")) * 111320.0 * F.cos(F.radians("lat0"))
