@@ -29,3 +29,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/skyfix-core-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as a shuffle has. A small file is one task, however
+    many rows a step makes of each of its; a number that is given is one that AQE keeps. Not for a
+    frame that is grouped by ``keys`` already: Spark would drop the exchange."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

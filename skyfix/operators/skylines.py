@@ -7,9 +7,12 @@ el, thx`` (``thx``: radians right of the picture's middle).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,23 +105,60 @@ def profile_at(wanted: DataFrame, profiles: DataFrame, by: str) -> DataFrame:
     return rows.join(both.withColumn("col", F.col("col").cast("int")).withColumnRenamed("el", "_el"), [by, "col"]).withColumn("sky", F.col("_el") * (1 - F.col("_f")) + F.col("_next") * F.col("_f")).drop("col", "_f", "_el", "_next")
 
 
-def _fits(points: DataFrame, profiles: DataFrame, turns: DataFrame) -> DataFrame:
-    """Per photo and turn: intercept and slope of what is left over ``thx``, and its root mean square."""
-    rows = profile_at(points.join(turns, "photo").withColumn("at", F.col("az") + F.col("turn")), profiles, "photo").withColumn("r", F.col("sky") - F.col("el"))
-    s = rows.groupBy("photo", "turn").agg(F.count("*").alias("n"), F.avg("thx").alias("mx"), F.avg("r").alias("my"), F.var_pop("thx").alias("vx"), F.var_pop("r").alias("vy"), F.covar_pop("thx", "r").alias("c"))
-    slope = F.when(F.col("vx") * F.col("n") * F.col("n") > 1e-9, F.col("c") / F.col("vx")).otherwise(0.0)
-    left = F.sqrt(F.greatest(F.lit(0.0), F.col("vy") - slope * F.col("c")))
-    return s.select("photo", "turn", "n", (F.col("my") - slope * F.col("mx")).alias("shift"), slope.alias("slope"), left.alias("rms"))
+def _fits(az: np.ndarray, el: np.ndarray, thx: np.ndarray, profile: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Per turn of one photo: root mean square of what is left, turn, intercept and slope over ``thx``,
+    and the points met. ``profile``: elevation of each column and of the next one, NaN where none is."""
+    place = np.mod(az + turns[:, None], 360.0) / STEP
+    low = np.floor(place)
+    col, f = low.astype(np.int64) % COLUMNS, place - low
+    r = profile[0, col] * (1 - f) + profile[1, col] * f - el
+    met = ~np.isnan(r)
+    n = met.sum(axis=1)
+    mean = lambda v: np.where(met, v, 0.0).sum(axis=1) / np.maximum(n, 1)
+    mx, my = mean(thx), mean(r)
+    dx, dy = thx - mx[:, None], r - my[:, None]
+    vx, vy, c = mean(dx * dx), mean(dy * dy), mean(dx * dy)
+    slope = np.where(vx * n * n > 1e-9, c / np.where(vx > 0, vx, 1.0), 0.0)
+    left = np.sqrt(np.maximum(0.0, vy - slope * c))
+    return np.column_stack([np.where(n > 0, np.round(left, 9), np.inf), turns, my - slope * mx, slope, n])
+
+
+def _best(az: np.ndarray, el: np.ndarray, thx: np.ndarray, profile: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """The row of ``_fits`` with the least rest, the least turn among equals; few turns at a time."""
+    at = max(1, 200_000 // len(az))
+    rows = np.concatenate([_fits(az, el, thx, profile, turns[i : i + at]) for i in range(0, len(turns), at)])
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))[0]]
+
+
+#: Turns tried first, and those around the best of them.
+COARSE, FINE = np.arange(-360, 360) * 0.5, np.arange(-12, 13) * 0.05
 
 
 def matched(points: DataFrame, profiles: DataFrame, least: int = 12) -> DataFrame:
     """``photo, d_az, d_el, d_roll, rms, n``: how to turn each photo so that its skyline lies on the
-    profile (``photo, col, el``): all azimuths in half degrees, then finer around the best."""
-    points = written(points.dropna(subset=["az", "el", "thx"]).withColumn("_n", F.count("*").over(Window.partitionBy("photo"))).where(F.col("_n") >= least).drop("_n"))
-    profiles = written(profiles)
-    photos = points.select("photo").distinct()
-    best = lambda f: f.groupBy("photo").agg(F.min(F.struct(F.round("rms", 9).alias("r"), "turn", "shift", "slope", "n")).alias("m"))
-    coarse = written(best(_fits(points, profiles, photos.select("photo", F.explode(F.transform(F.sequence(F.lit(-360), F.lit(359)), lambda i: i * 0.5)).alias("turn")))))
-    fine = coarse.select("photo", F.explode(F.transform(F.sequence(F.lit(-12), F.lit(12)), lambda i: F.round(F.col("m.turn") + i * 0.05, 6))).alias("turn"))
-    m = F.col("m")
-    return best(_fits(points, profiles, fine)).select("photo", m["turn"].alias("d_az"), m["shift"].alias("d_el"), (-m["slope"]).alias("d_roll"), m["r"].alias("rms"), m["n"].alias("n"))
+    profile (``photo, col, el``): all azimuths in half degrees, then finer around the best. A photo's
+    points and its profile (``COLUMNS`` rows) meet once; its turns are tried there."""
+    kind = points.schema["photo"].dataType.simpleString()
+    p = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("az", "el", "thx")])))
+    seen = points.dropna(subset=["photo", "az", "el", "thx"]).groupBy("photo").agg(p.alias("p")).where(F.size("p") >= least)
+    c = F.sort_array(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("el").cast("double").alias("sky"))))
+    skies = profiles.dropna(subset=["photo", "col", "el"]).groupBy("photo").agg(c.alias("c"))
+    both = seen.join(skies.hint("shuffle_merge"), "photo").select("photo", *[F.col(f"p.{x}").alias(x) for x in ("az", "el", "thx")], F.col("c.col").alias("col"), F.col("c.sky").alias("sky"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(k) for k in range(1, 6)]
+            parts = [(c.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))])) for c in lists]
+            found = np.zeros((batch.num_rows, 5))
+            for i in range(batch.num_rows):
+                az, el, thx, col, sky = (v[ends[i] : ends[i + 1]] for v, ends in parts)
+                profile = np.full((2, COLUMNS), np.nan)
+                profile[0, col], profile[1, col] = sky, np.roll(sky, -1)
+                coarse = _best(az, el, thx, profile, COARSE)
+                found[i] = _best(az, el, thx, profile, np.round(coarse[1] + FINE, 6))
+            rms, turn, shift, slope, n = found.T
+            some = np.isfinite(rms)
+            made = pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (turn, shift, -slope, rms)), pa.array(n.astype(np.int64))], names=["photo", "d_az", "d_el", "d_roll", "rms", "n"])
+            yield made.filter(pa.array(some))
+
+    return both.mapInArrow(run, f"photo {kind}, d_az double, d_el double, d_roll double, rms double, n long")

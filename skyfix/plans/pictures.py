@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.camera import pixel_direction
 from ..operators import fusion, poses, satellites, skylines, stars
+from ..operators.scratch import spread
 from .adapters import observers, table
 
 _COL = F.col
@@ -123,7 +124,7 @@ def skyline_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, lift, roll = (photo % 60) * 2 - 60.0, (photo % 9 - 4) * 0.25, photo % 7 - 3.0
     points = c.select("photo", "thx", az.alias("az"), (wave(az + turn, photo) - lift + roll * _COL("thx")).alias("el"))
     columns = F.explode(F.sequence(F.lit(0), F.lit(skylines.COLUMNS - 1))).alias("col")
-    profiles = c.select("photo").distinct().select("photo", columns).withColumn("el", wave(_COL("col") * skylines.STEP, photo))
+    profiles = spread(c.select("photo"), "photo").distinct().select("photo", columns).withColumn("el", wave(_COL("col") * skylines.STEP, photo))
     m = skylines.matched(points, profiles)
     return m.select("photo", *[F.round(F.round(x, 3) + 0.0, 3).alias(x) for x in ("d_az", "d_el", "d_roll")], (_COL("rms") < 1e-6).alias("met"), "n")
 

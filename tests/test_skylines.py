@@ -52,3 +52,13 @@ def test_outliers_of_a_window(spark):
     profile = spark.range(skylines.COLUMNS).select(F.lit(1).alias("photo"), F.col("id").cast("int").alias("col"), F.col("id").cast("double").alias("el"))
     sky = {r.at: r.sky for r in skylines.profile_at(at, profile, "photo").collect()}
     assert sky[0.2] == pytest.approx(0.5) and sky[359.9] == pytest.approx(899 * 0.25) and sky[-0.1] == pytest.approx(899 * 0.25)
+
+
+def test_matching_broadcasts_nothing_and_skips_unknown_columns(spark):
+    """Turns multiply the photos, which a broadcast of them would bring to the driver."""
+    profile = spark.createDataFrame([(1, c, wave(c * skylines.STEP)) for c in range(skylines.COLUMNS) if c not in (394, 395)], "photo int, col int, el double")
+    points = [(1, 100.0 + 4 * k, wave(110.0 + 4 * k), math.radians(4 * k - 28.0)) for k in range(15)]
+    found = skylines.matched(spark.createDataFrame(points, "photo int, az double, el double, thx double"), profile)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    (r,) = found.collect()
+    assert r.d_az == pytest.approx(10.0) and r.d_el == pytest.approx(0.0, abs=1e-6) and r.n == 14
