@@ -102,7 +102,8 @@ def peak_of_boxes(boxes: DataFrame, by: str, box: str, e0: str, n0: str, e1: str
     """Per observer the highest roof corner among the ``nearest`` boxes, metres east and north of
     it; a box around the observer or out of range does not count. Ties go to the smaller box id."""
     gap = lambda a, b: F.greatest(F.col(a), -F.col(b), F.lit(0.0))
-    d = F.hypot(gap(e0, e1), gap(n0, n1))
+    e, n = gap(e0, e1), gap(n0, n1)
+    d = F.sqrt(e * e + n * n)  # F.hypot can lie a last digit beside it, and so beyond a limit
     near = boxes.withColumn("_d", d).where(F.col("_d").between(low, high)).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_d", box))).where(F.col("_r") <= nearest)
     corner = F.array(*[F.struct(F.col(e).alias("e"), F.col(n).alias("n")) for e in (e0, e1) for n in (n0, n1)])
     at = near.withColumn("_c", F.explode(corner)).withColumn("_far", F.hypot("_c.e", "_c.n")).where("_far >= 1")

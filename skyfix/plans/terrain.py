@@ -80,7 +80,9 @@ def building_boxes_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highest roof corner among the 20 nearest boxes of every witness, by session."""
     b = candidates(spark, sf_dir).selectExpr("session", "candidate", "(c_lat - 42) * 9000 AS n", "(c_lon + 123.1) * 9000 AS e", "5 + candidate % 40 * 1.0D AS h")
     o = observers(spark, sf_dir).selectExpr("session", "witness", "(lat - 42) * 9000 AS wn", "(lon + 123) * 9000 AS we")
-    boxes = o.join(b, "session").selectExpr("witness", "candidate", "e - we - 9 AS e0", "n - wn - 6 AS n0", "e - we + 9 AS e1", "n - wn + 6 AS n1", "h")
+    boxes = o.join(b, "session").selectExpr("witness", "candidate", "round(e - we, 6) AS e", "round(n - wn, 6) AS n", "h")
+    # Decimals of one place, as the SQL has them: rounded, a box at exactly 12 m stays there.
+    boxes = boxes.selectExpr("witness", "candidate", "round(e - 9, 6) AS e0", "round(n - 6, 6) AS n0", "round(e + 9, 6) AS e1", "round(n + 6, 6) AS n1", "h")
     peak = terrain.peak_of_boxes(boxes, "witness", "candidate", "e0", "n0", "e1", "n1", "h", nearest=20)
     return peak.select("witness", F.round("el", 5).alias("el"), F.round("az", 4).alias("az"), "n_boxes")
 
