@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geodesy import Vector, azimuth, clamp, dot, norm, scaled
+from .geodesy import Vector, clamp, dot, norm, scaled
 
 Matrix = tuple[Column, ...]
 Quaternion = tuple[Column, Column, Column, Column]
@@ -113,4 +113,6 @@ def orientation_pose(alpha: Column, beta: Column, gamma: Column) -> tuple[Column
     forward = applied(m, (F.lit(0.0), F.lit(0.0), F.lit(-1.0)))
     up = up_of(beta, gamma)
     roll = F.degrees(F.atan2(up[0], up[1]))
-    return azimuth(forward[0], forward[1]), F.degrees(F.asin(clamp(forward[2], -1.0, 1.0))), roll - 90 * F.floor(roll / 90 + 0.5)
+    # A hair west of north is 360, not 0: ``azimuth`` would round it away.
+    az = F.degrees(F.atan2(forward[0], forward[1]))
+    return F.when(az < 0, az + 360).otherwise(az), F.degrees(F.asin(clamp(forward[2], -1.0, 1.0))), roll - 90 * F.floor(roll / 90 + 0.5)

@@ -220,7 +220,7 @@ def handheld_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.withColumn("way", attitude.gravity_sign(pull, _COL("beta"), _COL("gamma")))
     o = o.withColumns(dict(zip(("az", "el", "roll"), attitude.orientation_pose(_COL("alpha"), _COL("beta"), _COL("gamma")))))
     o = o.withColumns(dict(zip(("g_az", "g_el", "g_roll"), attitude.gravity_pose(g.scaled(pull, _COL("way")), _COL("az"), F.lit(0.0)))))
-    return o.select("o_orderkey", "way", *[(F.round(c, 3) + 0.0).alias(c) for c in ("az", "el")], (F.abs(_COL("g_el") - _COL("el")) + F.abs(_COL("g_az") - _COL("az")) + F.abs(_COL("g_roll") - _COL("roll")) < 1e-6).alias("agree"))
+    return o.select("o_orderkey", "way", *[(F.round(c, 3) + 0.0).alias(c) for c in ("az", "el")], (F.abs(_COL("g_el") - _COL("el")) + F.abs(g.wrapped(_COL("g_az") - _COL("az"))) + F.abs(_COL("g_roll") - _COL("roll")) < 1e-6).alias("agree"))
 
 
 _FX = "-(cos(radians(alpha)) * sin(radians(gamma)) + sin(radians(alpha)) * sin(radians(beta)) * cos(radians(gamma)))"

@@ -36,3 +36,10 @@ def test_box_at_exactly_twelve_metres(spark, cut):
     """Session 30: a box of witness 244 is 12 m away to the last digit."""
     made = cut(supplier=f"select * from '{SF}/supplier.parquet' where s_suppkey between 240 and 247", part=f"select * from '{SF}/part.parquet' where p_partkey between 4800 and 4959")
     assert any("244" in r for r in agree(spark, "building_boxes_peak", made))
+
+
+def test_azimuth_a_hair_west_of_north(spark, cut):
+    """Tilt angles that look level, and north but for the last digit."""
+    orders = "select 59830 + 3660 * i + j AS o_orderkey, c AS o_custkey from range(0, 60) a(i), range(0, 2) b(j), range(0, 360) d(c)"
+    found = agree(spark, "handheld_pose", cut(orders=orders))
+    assert any("360" in r for r in found)
