@@ -136,9 +136,12 @@ SELECT track, count(*) AS kept, max(value) AS worst, any_value(med) AS med, roun
 def clock_sync_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offset (steps of one sample, -20 to 20) at which a track best fits the next one."""
     f = _flight(spark, sf_dir).select("track", "s", "x")
-    a = f.withColumn("o", F.explode(F.sequence(F.lit(-20), F.lit(20)))).select("track", "o", (F.col("s") + F.col("o")).alias("s"), "x")
-    b = f.select((F.col("track") - 1).alias("track"), "s", F.col("x").alias("y"))
-    miss = a.join(b, ["track", "s"]).groupBy("track", "o").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("miss")).where("n >= 5")
+    # Blocks of as many samples as there are offsets: a sample meets those of at most two.
+    block = lambda s: F.floor(s / 41)
+    a = f.withColumn("block", F.explode(F.sequence(block(F.col("s") - 20), block(F.col("s") + 20))))
+    b = f.select((F.col("track") - 1).alias("track"), block(F.col("s")).alias("block"), F.col("s").alias("s2"), F.col("x").alias("y"))
+    met = a.join(b, ["track", "block"]).where((F.col("s2") - F.col("s")).between(-20, 20)).withColumn("o", (F.col("s2") - F.col("s")).cast("int"))
+    miss = met.groupBy("track", "o").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("miss")).where("n >= 5")
     return least_by_grid(miss, "track", "o", "miss")
 
 
