@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import spread
+
 #: Fixed value: shorter visible parts, as a share of the line, are left out.
 SLIVER = 1e-3
 
@@ -89,8 +91,9 @@ def area(corners: Column) -> Column:
 def hidden_spans(lines: DataFrame, boxes: DataFrame, view: str = "view", line: str = "line", box: str = "box") -> DataFrame:
     """``view, line, lo, hi``: the part of each line (``x1, y1, x2, y2, depth``) inside the hull of
     each nearer box (``corners, depth``) of its view, as shares of the line."""
-    e = edges(boxes, view, box, "depth").withColumnRenamed("depth", "_d")
-    met = lines.select(view, line, "x1", "y1", "x2", "y2", "depth").join(e, view).where(F.col("_d") < F.col("depth"))
+    # Dealt by view, so that a task holds the pairs of few views, and groups them where they are made.
+    e = edges(spread(boxes, view), view, box, "depth").withColumnRenamed("depth", "_d")
+    met = spread(lines.select(view, line, "x1", "y1", "x2", "y2", "depth"), view).join(e, view).where(F.col("_d") < F.col("depth"))
     nx, ny = F.col("ay") - F.col("by_"), F.col("bx") - F.col("ax")
     slope = (F.col("x2") - F.col("x1")) * nx + (F.col("y2") - F.col("y1")) * ny
     height = (F.col("x1") - F.col("ax")) * nx + (F.col("y1") - F.col("ay")) * ny

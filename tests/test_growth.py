@@ -14,3 +14,8 @@ def plan(spark, name):
 def test_clock_sync_multiplies_no_samples_before_the_join(spark):
     """Each sample went through the shuffle once for each of 41 offsets."""
     assert re.search(r"hashpartitioning\(track#\d+L?, block#|Join \[track#\d+L?, block#", plan(spark, "clock_sync_argmin"))
+
+
+def test_visible_lines_are_dealt_by_view(spark):
+    """The pairs of a view's lines and boxes are grouped in many tasks, not in those of a small file."""
+    assert "REPARTITION_BY_NUM" in plan(spark, "visible_lines")
