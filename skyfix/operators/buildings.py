@@ -20,6 +20,8 @@ from .scratch import spread
 
 #: Fixed value: shorter visible parts, as a share of the line, are left out.
 SLIVER = 1e-3
+#: Passes over all groups of a batch; groups that need more are finished one by one.
+ROUNDS = 64
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -41,19 +43,57 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chains[0] + chains[1])
 
 
+def _chain(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of points in order of group and place, those on the lower chain of their group's hull. A point
+    on or over the line between its neighbours goes, all at once, until none does or the rounds end."""
+    at = np.arange(len(group))
+    for _ in range(ROUNDS):
+        a, b, c = at[:-2], at[1:-1], at[2:]
+        cross = (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+        stays = np.ones(len(at), bool)
+        stays[1:-1] = (group[a] != group[c]) | (cross > 0)
+        if stays.all():
+            break
+        at = at[stays]
+    return at
+
+
+def _chains(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_chain`` of each group from left to right, and of the way back, without repeated points."""
+    order = np.lexsort((y, x, group))
+    g, u, v = group[order], x[order], y[order]
+    order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(order)]]
+    back = order[::-1]
+    return tuple(o[_chain(group[o], x[o], y[o])] for o in (order, back))
+
+
+def _hulls(group: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corners (row, 2) of the hulls of groups 0 to n - 1, one after another, and where each ends."""
+    low, back = _chains(group, x, y)
+    left = _chain(group[low], x[low], y[low]), _chain(group[back], x[back], y[back])
+    if any(len(l) != len(c) for l, c in zip(left, (low, back))):  # the rounds did not do: what is left, group by group
+        rest = np.unique(np.concatenate([low, back]))
+        found = [hull(np.column_stack([x[rest], y[rest]])[group[rest] == k]) for k in range(n)]
+        return np.concatenate(found), np.cumsum([len(f) for f in found])
+    # Each chain's last point is the other's first; a single point is its group's only one.
+    last = lambda c: np.concatenate([group[c][1:] != group[c][:-1], [True]])
+    alone = np.bincount(group[low], minlength=n)[group[low]] == 1
+    at = np.concatenate([low[~last(low) | alone], back[~last(back)]])
+    at = at[np.argsort(group[at], kind="stable")]
+    return np.column_stack([x[at], y[at]]), np.cumsum(np.bincount(group[at], minlength=n))
+
+
 def _on_hulls(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each batch the points on the hull of their group's points in it."""
+    """Of each batch the points that may be on the hull of their group's points in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
-                groups.setdefault(key, []).append(i)
-            xy = np.column_stack([np.asarray(batch.column(c), np.float64) for c in ("x", "y")])
-            out: list[tuple] = []
-            for key, at in groups.items():
-                out += [(*key, *c) for c in hull(xy[at]).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(batch.schema)], names=batch.schema.names)
+            group = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                coded = batch.column(k).dictionary_encode(null_encoding="encode")
+                group = np.unique(group * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)[1]
+            at = np.unique(np.concatenate(_chains(group, *(np.asarray(batch.column(c), np.float64) for c in ("x", "y")))))
+            yield batch.take(pa.array(at))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -62,14 +102,19 @@ def hulls(points: DataFrame, *keys: str) -> DataFrame:
     """``keys, corners``: the hull of each group's points ``x, y``, an array of ``x, y`` from the
     leftmost one on, counter-clockwise. Points with a null or NaN are left out."""
     rows = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["x", "y"])
-    left = _on_hulls(rows, list(keys)).groupBy(*keys).agg(F.collect_set(F.array("x", "y")).alias("points"))
+    left = _on_hulls(rows, list(keys)).groupBy(*keys).agg(F.collect_list(F.struct("x", "y")).alias("points"))
+    left = left.select(*keys, F.col("points.x").alias("x"), F.col("points.y").alias("y"))
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            corners = [[{"x": x, "y": y} for x, y in hull(np.array(p, np.float64)).tolist()] for p in batch.column("points").to_pylist()]
-            kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(corners, kind)], names=[*keys, "corners"])
+        kind = [("x", pa.float64()), ("y", pa.float64())]
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                group = np.repeat(np.arange(batch.num_rows), batch.column("x").value_lengths().to_numpy())
+                xy, ends = _hulls(group, *(batch.column(c).flatten().to_numpy() for c in ("x", "y")), batch.num_rows)
+                corners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=[pa.field(*f) for f in kind]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], corners], names=[*keys, "corners"])
 
     return left.mapInArrow(run, f"{kinds}, corners array<struct<x:double,y:double>>")
 

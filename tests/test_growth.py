@@ -2,6 +2,10 @@
 
 import re
 
+import numpy as np
+import pytest
+
+from skyfix.operators import buildings
 from skyfix.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +23,17 @@ def test_clock_sync_multiplies_no_samples_before_the_join(spark):
 def test_visible_lines_are_dealt_by_view(spark):
     """The pairs of a view's lines and boxes are grouped in many tasks, not in those of a small file."""
     assert "REPARTITION_BY_NUM" in plan(spark, "visible_lines")
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 64])
+def test_hulls_of_many_groups_at_once(monkeypatch, rounds):
+    """All groups of a batch in numpy passes, as ``hull`` has them one by one, ties and lines included."""
+    monkeypatch.setattr(buildings, "ROUNDS", rounds)
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 6, (n, 2)).astype(float) for n in (1, 2, 3, 5, 40, 300)] + [rng.normal(size=(500, 2)), np.ones((4, 2)), np.array([[0.0, 0], [2, 0], [1, 0], [1, 0]])]
+    group = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    mixed = rng.permutation(len(group))
+    xy = np.concatenate(sets)[mixed]
+    corners, ends = buildings._hulls(group[mixed], xy[:, 0], xy[:, 1], len(sets))
+    for s, a, b in zip(sets, [0, *ends[:-1]], ends):
+        assert corners[a:b].tolist() == buildings.hull(s).tolist()
