@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import EARTH_M, REFRACTION, azimuth
+from .scratch import spread
 
 #: Metres of a degree on the flat local map; eye height; first step and growth of a march.
 DEGREE_M, EYE_M, FIRST_M, GROWTH = 111320.0, 1.6, 200.0, 1.04
@@ -35,6 +36,11 @@ def tile_y(lat: Column, z: Column) -> Column:
 def heights(probes: DataFrame, tiles: DataFrame, key: list[str], lat: str, lon: str, zooms: tuple[int, ...] = (13, 10, 8)) -> DataFrame:
     """``key`` (unique per probe) and ``height``: bilinear in the finest zoom that has all four
     corners; null where none has, and for null positions."""
+    return _heights(spread(probes, *key), tiles, key, lat, lon, zooms)
+
+
+def _heights(probes: DataFrame, tiles: DataFrame, key: list[str], lat: str, lon: str, zooms: tuple[int, ...]) -> DataFrame:
+    """``heights`` of probes dealt by some of ``key``: a probe's corners stay in its task."""
     z = F.col("_z")
     at = probes.select(*key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).withColumn("_z", F.explode(F.array(*map(F.lit, zooms))))
     at = at.withColumns({"_px": tile_x(F.col("_lon"), z) * 256, "_py": tile_y(F.col("_lat"), z) * 256})
@@ -64,10 +70,12 @@ def drop(d: Column) -> Column:
 def clearance(rays: DataFrame, tiles: DataFrame, key: str, lat: str, lon: str, ground: str, az: str, el: str, reach: str, zooms: tuple[int, ...] = (13, 10, 8)) -> DataFrame:
     """Per ray the first distance at which the ground blocks it, by more than 8 m and 1.5 % of
     the distance, and the worst depth below the ground; both null if it is clear."""
-    steps = march(rays, lat, lon, az, reach)
-    h = heights(steps, tiles, [key, "step"], "s_lat", "s_lon", zooms)
+    rays = spread(rays, key)
+    # What the end needs goes along as a part of the key, so that the steps are made once.
+    carried = list(dict.fromkeys([key, "step", "d", ground, el]))
+    h = _heights(march(rays, lat, lon, az, reach), tiles, carried, "s_lat", "s_lon", zooms)
     over = F.greatest(F.lit(0.0), F.col("height")) - drop(F.col("d")) - (F.greatest(F.lit(0.0), F.col(ground)) + EYE_M + F.col("d") * F.tan(F.radians(el)))
-    seen = steps.join(h, [key, "step"]).where("height is not null").withColumn("_over", over).withColumn("_hit", F.col("_over") > F.greatest(F.lit(8.0), F.col("d") * 0.015))
+    seen = h.where("height is not null").withColumn("_over", over).withColumn("_hit", F.col("_over") > F.greatest(F.lit(8.0), F.col("d") * 0.015))
     blocked = seen.groupBy(key).agg(F.min(F.when(F.col("_hit"), F.col("d"))).alias("d_block"), F.max(F.when(F.col("_hit"), F.col("_over"))).alias("below_m"))
     return rays.select(key).join(blocked, key, "left")
 

@@ -37,3 +37,8 @@ def test_hulls_of_many_groups_at_once(monkeypatch, rounds):
     corners, ends = buildings._hulls(group[mixed], xy[:, 0], xy[:, 1], len(sets))
     for s, a, b in zip(sets, [0, *ends[:-1]], ends):
         assert corners[a:b].tolist() == buildings.hull(s).tolist()
+
+
+@pytest.mark.parametrize("name", ["ray_clearance", "dem_bilinear"])
+def test_probes_of_terrain_are_dealt_before_they_multiply(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(spark, name)
