@@ -7,6 +7,10 @@ The log is trusted for motion only, never for where it points, so its bias cance
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +42,45 @@ def log_at(wanted: DataFrame, logs: DataFrame) -> DataFrame:
     return both.select("clip", "at", *rest, *[v.alias(f"s_{c}") for c, v in values.items()])
 
 
+def _rests(t: np.ndarray, az: np.ndarray, el: np.ndarray, roll: np.ndarray, lt: np.ndarray, laz: np.ndarray, lel: np.ndarray, lroll: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of one clip, per offset, what differs between its pictures and its log as ``log_at`` reads it."""
+    at = t + offsets[:, None]
+    a, b = np.maximum(np.searchsorted(lt, at, "right") - 1, 0), np.minimum(np.searchsorted(lt, at, "left"), len(lt) - 1)
+    gap = lt[b] - lt[a]
+    f = np.where(gap > 0, (at - lt[a]) / np.where(gap > 0, gap, 1.0), 0.0)
+    turn = lambda d: np.mod(d + 540, 360.0) - 180
+    off = [turn(np.mod(laz[a] + turn(laz[b] - laz[a]) * f, 360.0) - az), lel[a] + (lel[b] - lel[a]) * f - el, lroll[a] + (lroll[b] - lroll[a]) * f - roll]
+    return np.sqrt(sum(np.var(o, axis=1) for o in off))
+
+
 def offsets(pictures: DataFrame, logs: DataFrame, reach_s: float = REACH_S, step_s: float = STEP_S) -> DataFrame:
     """``clip, offset, rms, confidence``: the lag at which picture and log differ least in the shape of
     their motion (each axis without its mean); the first among equals. Confidence is how far that
-    lies below the mean over all lags: a slow pan fits them all."""
+    lies below the mean over all lags: a slow pan fits them all. A clip's pictures and its log meet
+    once, and the lags are tried there; of the pictures and the log, rows with a null count for nothing."""
     n = round(reach_s / step_s)
-    grid = F.explode(F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda i: F.round(i * step_s, 6))).alias("offset")
-    tried = pictures.select("clip", "t", *AXES, grid).withColumn("at", F.col("t") + F.col("offset"))
-    both = log_at(tried, logs).where("s_az is not null")
-    spread = lambda v: F.var_pop(v)
-    scores = both.groupBy("clip", "offset").agg(
-        F.count("*").alias("n"), F.sqrt(spread(wrapped(F.col("s_az") - F.col("az"))) + spread(F.col("s_el") - F.col("el")) + spread(F.col("s_roll") - F.coalesce("roll", F.lit(0.0)))).alias("rms")
-    ).where("n >= 4")
-    found = scores.groupBy("clip").agg(F.min(F.struct(F.round("rms", 9).alias("r"), "offset")).alias("m"), F.avg("rms").alias("mean"))
-    conf = F.when(F.col("mean") > 1e-6, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("m.r") / F.col("mean")))).otherwise(0.0)
-    return found.select("clip", "m.offset", F.col("m.r").alias("rms"), conf.alias("confidence"))
+    grid = np.round(np.arange(-n, n + 1) * step_s, 6)
+    kind = pictures.schema["clip"].dataType.simpleString()
+    listed = lambda df, name: df.dropna(subset=["clip", "t", "az", "el"]).groupBy("clip").agg(F.sort_array(F.collect_list(F.struct(*[c.cast("double").alias(x) for x, c in (("t", F.col("t")), ("az", F.col("az")), ("el", F.col("el")), ("roll", F.coalesce("roll", F.lit(0.0))))]))).alias(name))
+    both = listed(pictures.select("clip", "t", *AXES), "p").join(listed(logs.select("clip", "t", *AXES), "l"), "clip")
+    both = both.where("size(p) >= 4").select("clip", *[F.col(f"{side}.{x}").alias(f"{side}_{x}") for side in "pl" for x in ("t", *AXES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(k) for k in range(1, 9)]
+            parts = [(c.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))])) for c in lists]
+            found = np.zeros((batch.num_rows, 3))
+            for i in range(batch.num_rows):
+                clip = [v[ends[i] : ends[i + 1]] for v, ends in parts]
+                at = max(1, 200_000 // len(clip[0]))
+                rms = np.concatenate([_rests(*clip, grid[j : j + at]) for j in range(0, len(grid), at)])
+                best = np.argmin(np.round(rms, 9))
+                found[i] = grid[best], np.round(rms[best], 9), rms.mean()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T)], names=["clip", "offset", "rms", "mean"]).filter(pa.array(np.isfinite(found[:, 2])))
+
+    found = both.mapInArrow(run, f"clip {kind}, offset double, rms double, mean double")
+    conf = F.when(F.col("mean") > 1e-6, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("rms") / F.col("mean")))).otherwise(0.0)
+    return found.select("clip", "offset", "rms", conf.alias("confidence"))
 
 
 def _moved(there: str, frm: str) -> dict[str, Column]:

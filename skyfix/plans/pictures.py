@@ -78,7 +78,8 @@ def satellite_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as clips of a swaying camera, two frames a second, four of every twelve weak and
     frozen; its log has a bias, and a clock that is off by up to 0.4 s."""
-    c = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS clip", "explode(sequence(0, 56)) AS i")
+    clips = spread(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS clip"), "clip")
+    c = clips.selectExpr("clip", "explode(sequence(0, 56)) AS i")
     path = lambda t: (F.pmod(_COL("clip") * 37 + 10 * F.sin(t * 0.8), F.lit(360.0)), 10 + 4 * F.cos(t), (_COL("clip") % 5).cast("double"))
     weak = (_COL("i") % 12).between(5, 8)
     seen = F.when(weak, F.floor(_COL("i") / 12) * 12 + 4).otherwise(_COL("i"))
@@ -86,7 +87,7 @@ def _clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     drift = F.floor((seen + 3) / 12) * 0.2
     pictures = c.select("clip", (_COL("i") * 0.5).alias("t"), F.pmod(az + drift, F.lit(360.0)).alias("az"), el.alias("el"), roll.alias("roll"), F.when(weak, 2).otherwise(20).alias("n"), F.lit(False).alias("held"))
     t = _COL("i") * 0.25
-    log = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS clip", "explode(sequence(-12, 130)) AS i")
+    log = clips.selectExpr("clip", "explode(sequence(-12, 130)) AS i")
     az, el, roll = path(t)
     return pictures, log.select("clip", (t + (_COL("clip") % 9 - 4) * 0.1).alias("t"), F.pmod(az + 25, F.lit(360.0)).alias("az"), (el - 3).alias("el"), (roll + 1).alias("roll"))
 

@@ -42,3 +42,8 @@ def test_hulls_of_many_groups_at_once(monkeypatch, rounds):
 @pytest.mark.parametrize("name", ["ray_clearance", "dem_bilinear"])
 def test_probes_of_terrain_are_dealt_before_they_multiply(spark, name):
     assert "REPARTITION_BY_NUM" in plan(spark, name)
+
+
+def test_lags_of_a_clip_are_no_rows(spark):
+    """Each picture was a row for each of 201 lags, sorted twice among the log's rows."""
+    assert "Window" not in plan(spark, "sensor_sync")
