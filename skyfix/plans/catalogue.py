@@ -9,6 +9,7 @@ from ..functions import sky
 from ..functions.geodesy import haversine, wrapped
 from ..operators import folds
 from ..operators.flightlog import graded
+from ..operators.scratch import spread
 from ..sources.reports import scraped
 from .adapters import CANDIDATES, OBSERVERS, TRACK, candidates, observers, table, track, wrapped_sql
 
@@ -74,14 +75,14 @@ def airspace_point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS zone", "42.0D + n_nationkey * 0.012D AS y", "-123.0D + n_nationkey * 0.015D AS x")
     corner = lambda k: (F.col("y") + 0.05 * F.sin(F.radians(72.0 * k + F.col("zone"))), F.col("x") + 0.07 * F.cos(F.radians(72.0 * k + F.col("zone"))))
     around = lambda c: F.explode(F.array(*[F.floor(F.col(c) / CELL) + d for d in (-1, 0, 1)]))
-    cells = zones.withColumn("cy", around("y")).withColumn("cx", around("x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    (y1, x1), (y2, x2) = corner(F.col("k")), corner(F.col("k") + 1)
-    edges = cells.select("zone", "cy", "cx", y1.alias("y1"), x1.alias("x1"), y2.alias("y2"), x2.alias("x2"))
-    c = candidates(spark, sf_dir).select("candidate", "c_lat", "c_lon", F.floor(F.col("c_lat") / CELL).alias("cy"), F.floor(F.col("c_lon") / CELL).alias("cx"))
-    met = c.join(edges, ["cy", "cx"], "left")
-    crosses = ((F.col("y1") > F.col("c_lat")) != (F.col("y2") > F.col("c_lat"))) & (F.col("c_lon") < (F.col("x2") - F.col("x1")) * (F.col("c_lat") - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    held = met.groupBy("candidate", "zone").agg((F.count_if(crosses) % 2).alias("inside"))
-    return held.groupBy("candidate").agg(F.sum("inside").alias("n_zones"))
+    edge = [(*corner(k), *corner(k + 1)) for k in range(5)]
+    edges = F.array(*[F.struct(*[v.alias(n) for n, v in zip(("y1", "x1", "y2", "x2"), e)]) for e in edge])
+    cells = zones.withColumn("cy", around("y")).withColumn("cx", around("x")).select("cy", "cx", edges.alias("edges"))
+    c = spread(candidates(spark, sf_dir).select("candidate", "c_lat", "c_lon", F.floor(F.col("c_lat") / CELL).alias("cy"), F.floor(F.col("c_lon") / CELL).alias("cx")), "candidate")
+    met = c.join(cells, ["cy", "cx"], "left")
+    crosses = lambda e: ((e["y1"] > F.col("c_lat")) != (e["y2"] > F.col("c_lat"))) & (F.col("c_lon") < (e["x2"] - e["x1"]) * (F.col("c_lat") - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) + e["x1"])
+    inside = F.when(F.col("edges").isNotNull(), F.size(F.filter("edges", crosses)) % 2).otherwise(0)
+    return met.groupBy("candidate").agg(F.sum(inside).alias("n_zones"))
 
 
 _AT = lambda k: (f"(42.0 + zone * 0.012 + 0.05 * sin(radians(72.0 * {k} + zone)))", f"(-123.0 + zone * 0.015 + 0.07 * cos(radians(72.0 * {k} + zone)))")

@@ -47,3 +47,9 @@ def test_probes_of_terrain_are_dealt_before_they_multiply(spark, name):
 def test_lags_of_a_clip_are_no_rows(spark):
     """Each picture was a row for each of 201 lags, sorted twice among the log's rows."""
     assert "Window" not in plan(spark, "sensor_sync")
+
+
+def test_candidates_meet_zones_not_edges(spark):
+    """One row a candidate and zone, in many tasks; it was one for each edge, grouped in the file's task."""
+    made = plan(spark, "airspace_point_in_ring")
+    assert "REPARTITION_BY_NUM" in made and not re.search(r"keys=\[candidate#\d+L?, zone#", made)
