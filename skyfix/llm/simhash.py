@@ -166,12 +166,8 @@ def homes_of(classes: DataFrame) -> DataFrame:
     A large group of near copies links nearly all with all. This joins it with as many rows
     as it has keys, and leaves little for the full join of ``links``.
     """
-    keyed = _keyed(classes.select("bits", F.col("bits").alias("home"))).drop("home")
-    ends = written(keyed.groupBy("key").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")).where("lo < hi"), "ends")
-    met = keyed.join(ends, "key")
-    stars = [met.where(_near("bits", end) & (F.col("bits") != F.col(end))).select(F.col("bits").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
     labels = classes.select(F.col("bits").alias("node"), F.col("bits").alias("label"))
-    found = components(stars[0].unionByName(stars[1]), labels)
+    found = components(star_pairs(classes), labels)
     return found.select(F.col("node").alias("bits"), F.col("label").alias("home"))
 
 
@@ -182,6 +178,22 @@ def links(homes: DataFrame) -> DataFrame:
     return keyed.alias("l").join(keyed.alias("r"), apart).select(F.col("l.home").alias("a"), F.col("r.home").alias("b")).distinct()
 
 
+def star_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of near fingerprints, b the least or the greatest of a key that both have."""
+    keyed = _keyed(classes.select("bits", F.col("bits").alias("home"))).drop("home")
+    ends = written(keyed.groupBy("key").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")).where("lo < hi"), "ends")
+    met = keyed.join(ends, "key")
+    stars = [met.where(_near("bits", end) & (F.col("bits") != F.col(end))).select(F.col("bits").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
+    return stars[0].unionByName(stars[1])
+
+
+def near_pairs(homes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of near fingerprints that have different homes."""
+    keyed = _keyed(homes)
+    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.home") < F.col("r.home")) & _near("l.bits", "r.bits")
+    return keyed.alias("l").join(keyed.alias("r"), apart).select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable)."""
     marked = written(fingerprints(df, id_col, text_col), "fingerprints")

@@ -128,6 +128,22 @@ def test_near_copies_at_the_similarity(spark):
     assert near_copies.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_near_copies_link_by_fuzzy_hashing(spark):
+    """Operator 4's keys find copies within four bits, and the sets of what they find are verified."""
+    base = words(9, 400, 9000)
+    bits = lambda t: simhash.fingerprint_bits(t.encode(), near_copies.WIDTH)
+    near = next(t for t in (f"{base} {words(20 + k, 3, 9000)}" for k in range(100)) if 0 < (bits(t) ^ bits(base)).bit_count() <= simhash.MAX_BITS)
+    texts = [base, near, words(10, 300, 9000), words(11, 300, 9000)]
+    # The last one only claims to be near the third.
+    claimed = int(np.uint64(bits(texts[2]) ^ 1).astype(np.int64))
+    rows = near_copies.keyed_rows(docs(spark, texts), "doc_id", "text").withColumn("bits", F.when(F.col("doc_id") == 3, F.lit(claimed)).otherwise(F.col("bits")))
+    classes = rows.select("node", "bits")
+    sets = near_copies.sets_of(docs(spark, texts), "doc_id", "text", classes.select("node"))
+    id_of = {bytes(r.node): r.doc_id for r in rows.collect()}
+    found = {frozenset((id_of[bytes(r.a)], id_of[bytes(r.b)])) for r in near_copies.fuzzy_links(classes, sets).collect()}
+    assert found == {frozenset((0, 1))}
+
+
 def test_benchmark_passages_with_substitutions(spark):
     item = [f"t{k}" for k in range(30)]
     swapped = item[5:21].copy()
