@@ -44,16 +44,17 @@ def misses(pose: np.ndarray, px: np.ndarray, py: np.ndarray, size: np.ndarray, t
     return np.where(held, 2 * np.arcsin(np.minimum(1, chord / 2)), 0.0)
 
 
-def fitted(seed: np.ndarray, free: np.ndarray, px: np.ndarray, py: np.ndarray, size: np.ndarray, true: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fitted(seed: np.ndarray, free: np.ndarray, px: np.ndarray, py: np.ndarray, size: np.ndarray, true: np.ndarray, held: np.ndarray, searches: int = SEARCHES) -> tuple[np.ndarray, np.ndarray]:
     """Poses of least squared angle and its root mean square in degrees, all photos at once: a
-    search along the axes with shrinking steps, then damped Gauss-Newton steps from there."""
+    search along the axes with shrinking steps, then damped Gauss-Newton steps from there. Seeds a
+    few degrees off need no search."""
     low = np.column_stack([seed[:, 0] - REACH, seed[:, 1] - REACH, *[np.full(len(seed), BOUNDS[p][0]) for p in ("roll", "fov", "k")]])
     high = np.column_stack([seed[:, 0] + REACH, seed[:, 1] + REACH, *[np.full(len(seed), BOUNDS[p][1]) for p in ("roll", "fov", "k")]])
     low[:, 2], high[:, 2] = np.minimum(low[:, 2], seed[:, 2] - 30), np.maximum(high[:, 2], seed[:, 2] + 30)
     cost = lambda p: (misses(p, px, py, size, true, held) ** 2).sum(axis=1)
     pose, step = seed.copy(), np.tile(STEPS, (len(seed), 1))
     best = cost(pose)
-    for _ in range(SEARCHES):
+    for _ in range(searches):
         moved = np.zeros(len(pose), bool)
         for axis in range(5):
             for way in (1, -1):
@@ -88,7 +89,7 @@ def fitted(seed: np.ndarray, free: np.ndarray, px: np.ndarray, py: np.ndarray, s
     return pose, np.degrees(np.sqrt(best / np.maximum(1, held.sum(axis=1))))
 
 
-def solved(anchors: DataFrame, *keys: str) -> DataFrame:
+def solved(anchors: DataFrame, *keys: str, searches: int = SEARCHES) -> DataFrame:
     """``keys`` (``photo``), ``az, el, roll, fov, k, rms, n`` of every photo; azimuths in [0, 360)."""
     keys = keys or ("photo",)
     lock = [F.coalesce(F.first(c), F.lit(False)).alias(c) if c in anchors.columns else F.lit(False).alias(c) for c in ("lock_fov", "lock_k")]
@@ -111,7 +112,7 @@ def solved(anchors: DataFrame, *keys: str) -> DataFrame:
             lock_fov, lock_k = (np.array(batch.column(c).to_pylist(), bool) for c in ("lock_fov", "lock_k"))
             centre = n >= 3
             free = np.column_stack([centre, centre, np.ones(len(n)), ~lock_fov, (n >= 2) & ~lock_k]).astype(float)
-            pose, rms = fitted(seed, free, all_[:, :, 0], all_[:, :, 1], size, all_[:, :, 2:], np.arange(n.max()) < n[:, None])
+            pose, rms = fitted(seed, free, all_[:, :, 0], all_[:, :, 1], size, all_[:, :, 2:], np.arange(n.max()) < n[:, None], searches)
             pose[:, 0] %= 360
             made = [*[batch.column(k) for k in range(len(keys))], *[pa.array(pose[:, i]) for i in range(5)], pa.array(rms), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(made, names=[*keys, *SEED, "rms", "n"])

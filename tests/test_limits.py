@@ -43,3 +43,12 @@ def test_azimuth_a_hair_west_of_north(spark, cut):
     orders = "select 59830 + 3660 * i + j AS o_orderkey, c AS o_custkey from range(0, 60) a(i), range(0, 2) b(j), range(0, 360) d(c)"
     found = agree(spark, "handheld_pose", cut(orders=orders))
     assert any("360" in r for r in found)
+
+
+def test_photos_with_few_bright_stars(spark, cut):
+    """Of the seven brightest dots of 139, 304 and 753 one is among the 120 brightest stars of its sky, so that no pair
+    of them says anything: they had no pose, or a wrong one."""
+    photos = (139, 304, 753)
+    skies = tuple(p // 20 for p in photos)
+    made = cut(supplier=f"select * from '{SF}/supplier.parquet' where s_suppkey in {photos}", part=f"select * from '{SF}/part.parquet' where p_partkey // 400 in {skies}")
+    assert len(agree(spark, "star_plate_solve", made)) == 3
