@@ -11,7 +11,7 @@ observer's sky of its own has ``sky`` on both sides.
    put the bright stars into the picture; those whose stars meet most dots are hypotheses.
 2. A hypothesis puts the stars of the cubes around its centre into the picture; stars and dots
    meet in cells of pixels and pair off where each is the other's nearest. ``poses.solved`` makes
-   a pose of the pairs, thrice, with a narrowing tolerance; the one with most pairs wins.
+   a pose of the pairs, pass by pass, with a narrowing tolerance; the one with most pairs wins.
 3. A photo whose pose leaves half of its dots alone may show too few bright stars: it has further
    rounds, with more dots and more stars.
 """
@@ -41,8 +41,8 @@ NEAR, CHECKED, APART = 0.025, 40, (4.0, 8.0)
 #: What the guessed view is multiplied with.
 VIEWS = (0.9, 0.925, 0.95, 0.975, 1.0, 1.025, 1.05, 1.075, 1.1)
 #: Pixels, as a share of the width, within which a star and a dot pair off, pass by pass; the last
-#: pass takes three times the misses that are left, between the latter two.
-TOLERANCES, LEAST_TOLERANCE = (0.02, 0.008), 0.002
+#: passes take twice the misses that are left, between the latter two.
+TOLERANCES, LEAST_TOLERANCE, TRIMS = (0.02, 0.008), 0.002, 3
 LEAST_PAIRS, MOST_RMS = 6, 0.7
 G = ("gx", "gy", "gz")
 
@@ -214,18 +214,21 @@ def refined(now: DataFrame, dots: DataFrame, stars: DataFrame) -> DataFrame:
     """``photo, az, el, roll, fov, k, rms, n``: each photo's best pose of its hypotheses."""
     now = written(now.where(F.col("el").between(-89.9, 89.9)))
     fixed = now.select("photo", "hypothesis", "width", "height", "sky")
-    # Three times the misses' root mean square, as a share of the width.
-    left_over = F.least(F.lit(TOLERANCES[-1]), F.greatest(F.lit(LEAST_TOLERANCE), 3 * F.radians("rms") / (2 * F.tan(F.radians("fov") / 2))))
+    # Twice the misses' root mean square, as a share of the width.
+    left_over = F.least(F.lit(TOLERANCES[-1]), F.greatest(F.lit(LEAST_TOLERANCE), 2 * F.radians("rms") / (2 * F.tan(F.radians("fov") / 2))))
     passes = []
-    for tolerance, share in (*((t, None) for t in TOLERANCES), (TOLERANCES[-1], left_over)):
+    for tolerance, share in (*((t, None) for t in TOLERANCES), *[(TOLERANCES[-1], left_over)] * TRIMS):
         pairs = written(paired(in_frame(now, stars, ["sky"]), dots, tolerance, share))
         enough = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("photo", "hypothesis"))).where(F.col("_n") >= LEAST_PAIRS)
         found = solved(enough.withColumnsRenamed({"x": "px", "y": "py"}), "photo", "hypothesis", searches=0)
         now = written(found.join(fixed, ["photo", "hypothesis"]))
         passes.append(now.withColumn("_pass", F.lit(len(passes))))
-    # The last pass can leave a hypothesis too few pairs: then the one before it counts.
+    # A late pass can leave a hypothesis too few pairs: then the one before it counts.
     last = F.row_number().over(Window.partitionBy("photo", "hypothesis").orderBy(F.desc("_pass")))
-    good = passes[-2].unionByName(passes[-1]).where((F.col("n") >= LEAST_PAIRS) & (F.col("rms") <= MOST_RMS)).withColumn("_last", last).where("_last = 1")
+    late = passes[len(TOLERANCES) - 1]
+    for p in passes[len(TOLERANCES) :]:
+        late = late.unionByName(p)
+    good = late.where((F.col("n") >= LEAST_PAIRS) & (F.col("rms") <= MOST_RMS)).withColumn("_last", last).where("_last = 1")
     order = Window.partitionBy("photo").orderBy(F.desc("n"), "rms", "hypothesis")
     return good.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("photo", "az", "el", "roll", "fov", "k", "rms", "n")
 

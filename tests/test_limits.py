@@ -52,3 +52,10 @@ def test_photos_with_few_bright_stars(spark, cut):
     skies = tuple(p // 20 for p in photos)
     made = cut(supplier=f"select * from '{SF}/supplier.parquet' where s_suppkey in {photos}", part=f"select * from '{SF}/part.parquet' where p_partkey // 400 in {skies}")
     assert len(agree(spark, "star_plate_solve", made)) == 3
+
+
+def test_photos_with_pairs_far_off(spark, cut):
+    """Photos 22213 and 49837: a dot that is no star pairs with a star near the picture's edge and bends the fit."""
+    supplier = "select unnest([22213, 49837]) AS s_suppkey"
+    part = "select i AS p_partkey from range(444000, 444400) a(i) union all select i from range(996400, 996800) b(i)"
+    assert len(agree(spark, "star_plate_solve", cut(supplier=supplier, part=part))) == 2
