@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .membership import one_of_each, row_key, without
-from .shared import drop_written, written
+from .shared import drop_written, merged, written
 
 
 def roots(edges: DataFrame) -> tuple[DataFrame | None, int]:
@@ -31,9 +31,9 @@ def roots(edges: DataFrame) -> tuple[DataFrame | None, int]:
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = written(merged(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = merged(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(low.select("u", F.col("m").alias("v")).union(moved).where("u <> v").distinct(), "edges")
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         for used in (now, least, large, low):
@@ -49,9 +49,9 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     found, _ = roots(edges)
     if found is None:
         return labels
-    home = written(labels.join(found, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")), "home")
+    home = written(merged(labels, found, "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")), "home")
     least = written(home.groupBy("root").agg(F.min("label").alias("least")), "least")
-    return home.join(least, "root").select("node", F.col("least").alias("label"))
+    return merged(home, least, "root").select("node", F.col("least").alias("label"))
 
 
 def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -46,6 +46,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join whose sides are sorted and merged, never collected on the driver. Spark guesses a size from
+    files, which an explode or Python step multiplies unseen and which repeated values make small."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the table that ``written`` made; call it only once nothing reads it any more."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, first_of_each, identified
-from .shared import columns, sliced, written
+from .shared import columns, merged, sliced, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -175,14 +175,14 @@ def links(homes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of homes of which any two fingerprints are at most ``MAX_BITS`` apart."""
     keyed = _keyed(homes)
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.home") < F.col("r.home")) & _near("l.bits", "r.bits")
-    return keyed.alias("l").join(keyed.alias("r"), apart).select(F.col("l.home").alias("a"), F.col("r.home").alias("b")).distinct()
+    return merged(keyed.alias("l"), keyed.alias("r"), apart).select(F.col("l.home").alias("a"), F.col("r.home").alias("b")).distinct()
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of near fingerprints, b the least or the greatest of a key that both have."""
     keyed = _keyed(classes.select("bits", F.col("bits").alias("home"))).drop("home")
     ends = written(keyed.groupBy("key").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")).where("lo < hi"), "ends")
-    met = keyed.join(ends, "key")
+    met = merged(keyed, ends, "key")
     stars = [met.where(_near("bits", end) & (F.col("bits") != F.col(end))).select(F.col("bits").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
     return stars[0].unionByName(stars[1])
 
@@ -191,7 +191,7 @@ def near_pairs(homes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of near fingerprints that have different homes."""
     keyed = _keyed(homes)
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.home") < F.col("r.home")) & _near("l.bits", "r.bits")
-    return keyed.alias("l").join(keyed.alias("r"), apart).select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b")).distinct()
+    return merged(keyed.alias("l"), keyed.alias("r"), apart).select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,10 +199,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = written(fingerprints(df, id_col, text_col), "fingerprints")
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "classes")
     homes = written(homes_of(classes), "homes")
-    least = homes.join(classes, "bits").groupBy("home").agg(F.min("least").alias("label"))
+    least = merged(homes, classes, "bits").groupBy("home").agg(F.min("least").alias("label"))
     component = components(links(homes), written(least.withColumnRenamed("home", "node"), "least"))
-    placed = homes.join(component, F.col("home") == F.col("node")).select("bits", F.col("label").alias("component_id"))
-    return marked.join(written(placed, "placed"), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    placed = merged(homes, component, F.col("home") == F.col("node")).select("bits", F.col("label").alias("component_id"))
+    return merged(marked, written(placed, "placed"), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
