@@ -12,6 +12,8 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import merged
+
 #: At most 2**20 rows of two longs: 16 MB.
 SLOT_BITS = 20
 
@@ -58,7 +60,7 @@ def marked(df: DataFrame, keys: list[str], known: Known) -> DataFrame:
 def without(df: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     """``df`` less the rows whose key is in ``gone`` (a written table with a column ``key``)."""
     split = marked(packed(df, key), ["key"], bitmap(gone, ["key"]))
-    rest = split.where("_maybe").select("row", "key").join(gone, "key", "left_anti")
+    rest = merged(split.where("_maybe").select("row", "key"), gone, "key", "left_anti")
     return split.where("not _maybe").select("row").unionByName(rest.select("row")).select("row.*")
 
 
@@ -67,6 +69,6 @@ def one_of_each(df: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
     the least by its columns; a hot key is reduced before the shuffle."""
     split = marked(packed(df, key), ["key"], bitmap(repeated, ["key"]))
     maybe = split.where("_maybe").select("row", "key")
-    alone = split.where("not _maybe").select("row").unionByName(maybe.join(repeated, "key", "left_anti").select("row"))
-    one = maybe.join(repeated, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    alone = split.where("not _maybe").select("row").unionByName(merged(maybe, repeated, "key", "left_anti").select("row"))
+    one = merged(maybe, repeated, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     return alone.unionByName(one.select("row")).select("row.*")

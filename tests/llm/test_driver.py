@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from skyfix.llm import simhash
+from skyfix.llm import near_copies, simhash
 
 
 def broadcast(spark, run):
@@ -31,3 +31,8 @@ def test_fuzzy_keys_are_never_broadcast(spark, docs):
     made a table of 200 MB that it took for one of less than 10."""
     assert not broadcast(spark, lambda: simhash.near_duplicates(docs).collect())
     assert not broadcast(spark, lambda: simhash.near_pairs(spark.createDataFrame([(1, 1), (3, 3)], "bits long, home long")).collect())
+
+
+def test_only_bitmaps_of_near_copies_are_broadcast(spark, docs):
+    keys = broadcast(spark, lambda: near_copies.deduplicate(docs).collect())
+    assert keys and all(re.match(r"_slot#\d+L?$", k) for k in keys)
