@@ -31,6 +31,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join whose sides are sorted and merged, never collected on the driver. Spark guesses a size from
+    files, where rows that an explode repeats take nearly no room."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` over as many tasks as a shuffle has. A small file is one task, however
     many rows a step makes of each of its; a number that is given is one that AQE keeps. Not for a

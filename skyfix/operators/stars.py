@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.camera import basis, focal_pixels
 from .poses import solved
-from .scratch import spread, written
+from .scratch import merged, spread, written
 
 #: Bright dots and stars that seed, round by round.
 ROUNDS = ((7, 120), (10, 400), (16, 1000))
@@ -173,16 +173,23 @@ def projected(g: np.ndarray, pose: np.ndarray, width: np.ndarray, height: np.nda
 
 def in_frame(poses: DataFrame, stars: DataFrame, keys: list[str]) -> DataFrame:
     """Stars inside the picture of each pose, with their pixel ``sx, sy``. Poses meet the stars of
-    the cubes that their picture can reach."""
+    the cubes that their picture can reach, and of these the ones within its corners' reach."""
     side = 0.5  # the picture's half diagonal is at most about an edge of two cubes
     ahead = dict(zip(("hx", "hy", "hz"), basis(F.col("az"), F.col("el"), F.col("roll"))[0]))
-    half = F.least(F.lit(2.0), 2 * F.sin(F.atan(F.hypot("width", "height") / 2 / focal_pixels(F.col("width"), F.col("fov"))) / 2)) + 0.05
+    corner = F.hypot("width", "height") / 2 / focal_pixels(F.col("width"), F.col("fov"))
+    half = F.least(F.lit(2.0), 2 * F.sin(F.atan(corner * (1 + F.abs("k") * corner * corner)) / 2)) + 0.05
     near = poses.withColumns(ahead).withColumn("_reach", half)
     for a, c in zip(("cx", "cy", "cz"), ("hx", "hy", "hz")):
         near = near.withColumn(a, F.explode(F.sequence(F.floor((F.col(c) - F.col("_reach")) / side), F.floor((F.col(c) + F.col("_reach")) / side))))
-    near = written(near)
+    # Cubes outside the reach, or wholly off the sphere (by more than directions are rounded), hold none of its stars.
+    squares = lambda of: sum((x * x for x in map(of, ("cx", "cy", "cz"), ("hx", "hy", "hz"))), F.lit(0.0))
+    low = lambda c: F.col(c) * side
+    off = squares(lambda c, h: F.greatest(low(c) - F.col(h), F.col(h) - low(c) - side, F.lit(0.0))) <= F.col("_reach") * F.col("_reach")
+    sphere = (squares(lambda c, h: F.greatest(low(c), -low(c) - side, F.lit(0.0))) < 1.01) & (squares(lambda c, h: F.greatest(F.abs(low(c)), F.abs(low(c) + side))) > 0.99)
+    near = written(near.where(off & sphere))
     placed = stars.select(*keys, "star", "mag", *G, *[F.floor(F.col(c) / side).alias(k) for k, c in zip(("cx", "cy", "cz"), G)])
-    both = near.join(placed, [*keys, "cx", "cy", "cz"]).drop("cx", "cy", "cz", "hx", "hy", "hz", "_reach")
+    apart = sum(((F.col(g) - F.col(h)) * (F.col(g) - F.col(h)) for g, h in zip(G, ("hx", "hy", "hz"))), F.lit(0.0))
+    both = merged(near, placed, [*keys, "cx", "cy", "cz"]).where(apart <= F.col("_reach") * F.col("_reach")).drop("cx", "cy", "cz", "hx", "hy", "hz", "_reach")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +212,7 @@ def paired(seen: DataFrame, dots: DataFrame, tolerance: float, share: Column | N
     for a in ("ux", "uy"):  # a photo has its dots once, its stars once a hypothesis
         right = right.withColumn(a, F.explode(F.array(*[F.col(a) + d for d in (-1, 0, 1)])))
     off = F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
-    both = left.join(right, ["photo", "ux", "uy"]).withColumn("off", off).where(F.col("off") <= (cell if share is None else F.col("width") * share))
+    both = merged(left, right, ["photo", "ux", "uy"]).withColumn("off", off).where(F.col("off") <= (cell if share is None else F.col("width") * share))
     nearest = lambda *by: F.row_number().over(Window.partitionBy("photo", "hypothesis", *by).orderBy("off", "star", "rank"))
     return both.withColumns({"_s": nearest("star"), "_d": nearest("rank")}).where("_s = 1 and _d = 1").drop("_s", "_d", "ux", "uy")
 
@@ -221,7 +228,7 @@ def refined(now: DataFrame, dots: DataFrame, stars: DataFrame) -> DataFrame:
         pairs = written(paired(in_frame(now, stars, ["sky"]), dots, tolerance, share))
         enough = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("photo", "hypothesis"))).where(F.col("_n") >= LEAST_PAIRS)
         found = solved(enough.withColumnsRenamed({"x": "px", "y": "py"}), "photo", "hypothesis", searches=0)
-        now = written(found.join(fixed, ["photo", "hypothesis"]))
+        now = written(merged(found, fixed, ["photo", "hypothesis"]))
         passes.append(now.withColumn("_pass", F.lit(len(passes))))
     # A late pass can leave a hypothesis too few pairs: then the one before it counts.
     last = F.row_number().over(Window.partitionBy("photo", "hypothesis").orderBy(F.desc("_pass")))
@@ -246,8 +253,8 @@ def blind_solved(dots: DataFrame, stars: DataFrame) -> DataFrame:
         if len(found) == len(ROUNDS):
             break
         shown = written(left.groupBy("photo", "sky").agg(F.count("*").alias("_dots"))).join(catalogue, "sky")
-        sure = best.join(shown, "photo").where(2 * F.col("n") >= F.least("_dots", "_stars")).select("photo")
-        left = written(left.join(sure, "photo", "left_anti"))
+        sure = merged(best, shown, "photo").where(2 * F.col("n") >= F.least("_dots", "_stars")).select("photo")
+        left = written(merged(left, sure, "photo", "left_anti"))
         if left.isEmpty():
             break
     every = found[0]

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from skyfix.operators import buildings
+from skyfix.operators import buildings, stars
 from skyfix.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,14 @@ def test_candidates_meet_zones_not_edges(spark):
     """One row a candidate and zone, in many tasks; it was one for each edge, grouped in the file's task."""
     made = plan(spark, "airspace_point_in_ring")
     assert "REPARTITION_BY_NUM" in made and not re.search(r"keys=\[candidate#\d+L?, zone#", made)
+
+
+def test_poses_and_stars_meet_without_a_broadcast(spark):
+    """Poses once for each cube are a small file of many rows: 60,000 photos took 715 MB on the driver."""
+    pose = "photo long, sky int, hypothesis int, az double, el double, roll double, fov double, k double, width double, height double"
+    poses = spark.createDataFrame([(1, 0, 1, 10.0, 20.0, 3.0, 60.0, 0.0, 4000.0, 3000.0)], pose)
+    sky = spark.createDataFrame([(0, 7, 0.0, 1.0, 0.0, 1.0)], "sky int, star long, gx double, gy double, gz double, mag double")
+    seen = stars.in_frame(poses, sky, ["sky"])
+    dots = spark.createDataFrame([(1, 5.0, 6.0, 1, 4000.0)], "photo long, x double, y double, rank int, width double")
+    for df in (seen, stars.paired(seen, dots, 0.02)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

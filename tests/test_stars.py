@@ -34,3 +34,21 @@ def test_no_stars(spark):
     one = spark.createDataFrame([("a", 1.0, 2.0, 1, 4000.0, 3000.0, 62.0)], DOTS)
     assert stars.blind_solved(one, spark.createDataFrame([], STARS)).count() == 0
     assert stars.blind_solved(spark.createDataFrame([], DOTS), spark.createDataFrame([], STARS)).count() == 0
+
+
+def test_all_stars_in_a_picture_of_a_strong_radial_term(spark):
+    """The corners of such a picture see farther than its view says; every star in it is found, and none twice."""
+    rng = np.random.default_rng(11)
+    g = rng.normal(size=(4000, 3))
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    poses = np.array([[az, el, roll, fov, k] for az, el, roll in ((0.0, 0.0, 0.0), (133.0, 47.0, 20.0), (301.0, -62.0, -9.0)) for fov in (20.0, 66.0, 110.0) for k in (0.0, 0.1, 0.5)])
+    size = (4000.0, 3000.0)
+    given = [(i, *map(float, p), *size) for i, p in enumerate(poses)]
+    sky = [(i, *map(float, v), 1.0) for i, v in enumerate(g)]
+    seen = stars.in_frame(spark.createDataFrame(given, "photo int, az double, el double, roll double, fov double, k double, width double, height double").withColumn("sky", stars.F.lit(0)), spark.createDataFrame(sky, STARS).withColumn("sky", stars.F.lit(0)), ["sky"])
+    expected = set()
+    for i, p in enumerate(poses):
+        x, y = stars.projected(g, np.tile(p, (len(g), 1)), *(np.full(len(g), s) for s in size))
+        expected |= {(i, int(s)) for s in np.flatnonzero((x >= 0) & (x <= size[0]) & (y >= 0) & (y <= size[1]))}
+    got = [(r.photo, r.star) for r in seen.select("photo", "star").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
